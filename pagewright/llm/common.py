@@ -50,3 +50,74 @@ def map_arrow(df: DataFrame, function, ddl: str) -> DataFrame:
 def nested_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blocks nested in service pages, one row each; a redelivered page's blocks come again."""
     return table(spark, sf_dir, "service_pages").select("service_page_id", "book_id", F.posexplode("blocks").alias("block_pos", "b"))
+
+
+def slices(b: pa.RecordBatch, column: str, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most `most` bytes of text each (a longer text is a part of its own)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < b.num_rows:
+        upto = int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right"))
+        upto = max(1, upto)
+        yield b.slice(at, upto)
+        at += upto
+
+
+def count_by_partition(df: DataFrame, column: str, counts, flush: int = 1_000_000) -> DataFrame:
+    """(key, n) of `counts(texts) -> (keys, counts)` over all texts, summed within each partition before the shuffle."""
+    import numpy as np
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ddl = "key bigint, n bigint"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def merged(keys: list, ns: list) -> tuple:
+        u, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(u), dtype=np.int64)
+        np.add.at(total, at, np.concatenate(ns))
+        return u, total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list = []
+        ns: list = []
+        held = 0
+        for whole in batches:
+            for b in slices(whole, column):
+                k, n = counts(strings(b.column(column)))
+                keys.append(k)
+                ns.append(n)
+                held += len(k)
+                if held > flush:
+                    u, total = merged(keys, ns)
+                    keys, ns, held = [u], [total], len(u)
+                    if held > flush // 2:
+                        yield batch(schema, u.view(np.int64), total)
+                        keys, ns, held = [], [], 0
+        if keys:
+            u, total = merged(keys, ns)
+            yield batch(schema, u.view(np.int64), total)
+
+    return df.select(column).mapInArrow(run, ddl).groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(df: DataFrame, column: str, share: float):
+    """Hashes (sorted) and counts of the words that make up at least `share` of all words of the column: at most 1/share of
+    them whatever the corpus, which bounds what the driver holds and sends out."""
+    import numpy as np
+
+    from .vec import Words
+
+    def counts(texts: list) -> tuple:
+        u, n = np.unique(Words(texts).hash, return_counts=True)
+        return u, n.astype(np.int64)
+
+    every = cut_lineage(count_by_partition(df, column, counts))
+    total = every.agg(F.sum("n")).first()[0] or 0
+    rows = every.filter(F.col("n") >= max(1.0, total * share)).toArrow()
+    keys = rows.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], rows.column("n").to_numpy()[order].astype(np.int64), total
