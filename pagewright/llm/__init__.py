@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["p2_residue", "p4_lines", "p6_near"]
+_MODULES = ["p2_residue", "p4_lines", "p6_near", "p7_leaks"]
 
 
 def _all(name: str) -> dict:
