@@ -115,9 +115,8 @@ def frequent_words(df: DataFrame, column: str, share: float):
         u, n = np.unique(Words(texts).hash, return_counts=True)
         return u, n.astype(np.int64)
 
-    every = cut_lineage(count_by_partition(df, column, counts))
-    total = every.agg(F.sum("n")).first()[0] or 0
-    rows = every.filter(F.col("n") >= max(1.0, total * share)).toArrow()
+    every = count_by_partition(df, column, counts)
+    rows = every.filter(F.col("n") >= every.agg(F.sum("n") * share).scalar()).toArrow()
     keys = rows.column("key").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], rows.column("n").to_numpy()[order].astype(np.int64), total
+    return keys[order], rows.column("n").to_numpy()[order].astype(np.int64)
