@@ -14,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import batch, cut_lineage, map_arrow, slices, strings, table
@@ -21,8 +22,8 @@ from .vec import Words, signed
 
 GRAM = 6
 RUN = 12
-#: Up to this many meeting pairs (24 bytes each) are sent to all executors to fetch the texts; beyond, a shuffle does it.
-BROADCAST_PAIRS = 200_000
+#: Up to this many ids of meeting documents (8 bytes each) are sent to all executors to fetch the texts; beyond, a shuffle does it.
+BROADCAST_IDS = 400_000
 
 
 def _winnow(gram: int, window: int):
@@ -58,44 +59,35 @@ def fingerprints(texts: DataFrame, gram: int = GRAM, run: int = RUN) -> DataFram
     return map_arrow(texts.select(F.col("id").cast("bigint").alias("id"), "text"), _winnow(gram, run - gram + 1), "id bigint, print bigint")
 
 
-def _extend(run: int):
-    def words_of(texts: list) -> list[list[int]]:
-        w = Words(texts)
-        return [w.hash[w.first[i] : w.first[i + 1]].tolist() for i in range(len(texts))]
-
-    def longest(a: list[int], b: list[int]) -> int:
-        """Words of the longest common run; both sides' runs of `run` words are looked up, then extended one word a step."""
-        places: dict[tuple, list[int]] = {}
-        for i in range(len(b) - run + 1):
-            places.setdefault(tuple(b[i : i + run]), []).append(i)
-        most, ends = 0, {}
-        for i in range(len(a) - run + 1):
-            fresh = {}
-            for j in places.get(tuple(a[i : i + run]), ()):
-                n = ends.get(j - 1, run - 1) + 1
-                fresh[j] = n
-                most = max(most, n)
-            ends = fresh
-        return most
-
-    def of_batch(b: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
-        docs, items = words_of(strings(b.column("text"))), words_of(strings(b.column("passage")))
-        return batch(schema, b.column("item_id"), b.column("doc_id"), [longest(i, d) for i, d in zip(items, docs, strict=True)])
+def _runs(run: int):
+    def of_batch(whole: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+        ids, places, prints = [], [], []
+        for b in slices(whole, "text"):
+            w = Words(strings(b.column("text")))
+            g, first = w.grams(run)
+            ids.append(b.column("id").take(pa.array(w.row[first])))
+            places.append(first - w.first[w.row[first]])
+            prints.append(g)
+        return batch(schema, pa.concat_arrays(ids), np.concatenate(places).astype(np.int32), signed(np.concatenate(prints)))
 
     return of_batch
 
 
+def all_runs(texts: DataFrame, run: int = RUN) -> DataFrame:
+    """texts(id, text) -> (id, place, print) of every run of `run` words."""
+    return map_arrow(texts.select(F.col("id").cast("bigint").alias("id"), "text"), _runs(run), "id bigint, place int, print bigint")
+
+
 def leaks(items: DataFrame, documents: DataFrame, gram: int = GRAM, run: int = RUN) -> DataFrame:
-    """items(item_id, passage), documents(doc_id, text) -> (item_id, doc_id, words): the longest shared run of each pair
-    that shares at least `run` words."""
-    items = items.select("item_id", "passage").filter("passage is not null").dropDuplicates()
-    documents = documents.select("doc_id", "text").filter("text is not null")
-    of_items = fingerprints(items.select(F.col("item_id").alias("id"), F.col("passage").alias("text")), gram, run).select(F.col("id").alias("item_id"), "print").distinct()
-    of_docs = fingerprints(documents.select(F.col("doc_id").alias("id"), "text"), gram, run).select(F.col("id").alias("doc_id"), "print")
-    met = cut_lineage(of_docs.join(of_items, "print").select("item_id", "doc_id").distinct())
-    hint = F.broadcast if met.count() <= BROADCAST_PAIRS else (lambda df: df)
-    full = documents.join(hint(met), "doc_id").join(items, "item_id").select("item_id", "doc_id", "text", "passage")
-    return map_arrow(full, _extend(run), "item_id bigint, doc_id bigint, words int").filter(F.col("words") >= run).groupBy("item_id", "doc_id").agg(F.max("words").alias("words"))
+    """items(item_id, passage), documents(doc_id, text) -> (item_id, doc_id, item_place, doc_place): where each of the
+    items' runs of `run` words stands in a document. A longer shared run is a chain of such rows."""
+    items = items.select(F.col("item_id").alias("id"), F.col("passage").alias("text")).filter("text is not null").dropDuplicates()
+    documents = documents.select(F.col("doc_id").alias("id"), "text").filter("text is not null and id is not null")
+    met = fingerprints(documents, gram, run).join(fingerprints(items, gram, run).select("print").distinct(), "print", "left_semi")
+    met = cut_lineage(met.select("id").distinct())
+    near = documents.join(F.broadcast(met) if met.count() <= BROADCAST_IDS else met, "id", "left_semi")
+    there = all_runs(near, run).withColumnsRenamed({"id": "doc_id", "place": "doc_place"})
+    return there.join(all_runs(items, run).withColumnsRenamed({"id": "item_id", "place": "item_place"}), "print").select("item_id", "doc_id", "item_place", "doc_place")
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,12 +95,16 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir).select("item_id", "doc_id")
+    return _found(spark, sf_dir).select("item_id", "doc_id").distinct()
 
 
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaked items: documents that hold them, longest shared run in words."""
-    hits = _found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("longest_run"))
+    chain = W.partitionBy("item_id", "doc_id", "shift").orderBy("doc_place")
+    rows = _found(spark, sf_dir).distinct().withColumn("shift", F.col("doc_place") - F.col("item_place"))
+    rows = rows.withColumn("chain", F.col("doc_place") - F.row_number().over(chain))
+    longest = rows.groupBy("item_id", "doc_id", "shift", "chain").agg((F.count("*") + (RUN - 1)).alias("words"))
+    hits = longest.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("words").alias("longest_run"))
     return table(spark, sf_dir, "eval_items").select("item_id", "suite").distinct().join(hits, "item_id")
 
 
