@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["p2_residue", "p4_lines", "p6_near", "p7_leaks", "p5_cut"]
+_MODULES = ["p2_residue", "p4_lines", "p6_near", "p7_leaks", "p5_cut", "p3_scan"]
 
 
 def _all(name: str) -> dict:

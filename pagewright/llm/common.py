@@ -104,7 +104,7 @@ def count_by_partition(df: DataFrame, column: str, counts, flush: int = 1_000_00
     return df.select(column).mapInArrow(run, ddl).groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(df: DataFrame, column: str, share: float):
+def frequent_words(df: DataFrame, column: str, share: float, also: str = ""):
     """Hashes (sorted) and counts of the words that make up at least `share` of all words of the column: at most 1/share of
     them whatever the corpus, which bounds what the driver holds and sends out."""
     import numpy as np
@@ -112,7 +112,7 @@ def frequent_words(df: DataFrame, column: str, share: float):
     from .vec import Words
 
     def counts(texts: list) -> tuple:
-        u, n = np.unique(Words(texts).hash, return_counts=True)
+        u, n = np.unique(Words(texts, also).hash, return_counts=True)
         return u, n.astype(np.int64)
 
     every = count_by_partition(df, column, counts)

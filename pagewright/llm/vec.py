@@ -58,10 +58,16 @@ class Words:
     """Words (longest runs of letters and digits) of lower-cased texts: `hash` of each word, `row` it belongs to, and
     `first`: each row's first word, with one entry more at the end."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], also: str = "", map_codes=None):
         texts = [(t or "").lower() for t in texts]
         flat, _, ends = codes(texts)
         inside = alnum_table()[flat]
+        for c in also:  # further characters that may stand in a word
+            inside |= flat == ord(c)
+        if map_codes is not None:  # may replace characters of words and drop some, never a whole word
+            flat, keep = map_codes(flat, inside)
+            flat, inside = flat[keep], inside[keep]
+            ends = np.flatnonzero(flat == 0)
         edge = np.diff(inside.astype(np.int8), prepend=np.int8(0))
         self.start = np.flatnonzero(edge == 1)
         self.end = np.flatnonzero(edge == -1)  # the last code is a 0, so every word ends
