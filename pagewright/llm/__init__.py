@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["p2_residue", "p4_lines", "p6_near", "p7_leaks", "p5_cut", "p3_scan", "p8_mix", "p9_encoding"]
+_MODULES = ["p1_pairs", "p2_residue", "p4_lines", "p6_near", "p7_leaks", "p5_cut", "p3_scan", "p8_mix", "p9_encoding"]
 
 
 def _all(name: str) -> dict:
