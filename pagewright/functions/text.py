@@ -71,22 +71,35 @@ def bigrams(c: Column) -> Column:
 
 def dice(a: Column, b: Column) -> Column:
     """Dice coefficient of character bigrams with repeats; texts without bigrams compare as equal or not."""
-    ga, gb = bigrams(a), bigrams(b)
+    return _dice(bigrams(a), bigrams(b), a == b)
+
+
+def _dice(ga: Column, gb: Column, equal: Column) -> Column:
     total = F.size(ga) + F.size(gb)
     count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    shared = F.aggregate(F.array_distinct(ga), F.lit(0), lambda acc, g: acc + F.least(count(ga, g), count(gb, g)))
-    return F.when(total == 0, F.when(a == b, 1.0).otherwise(0.0)).otherwise(shared * 2.0 / total)
+    shared = F.aggregate(F.array_intersect(ga, gb), F.lit(0), lambda acc, g: acc + F.least(count(ga, g), count(gb, g)))
+    return F.when(total == 0, F.when(equal, 1.0).otherwise(0.0)).otherwise(shared * 2.0 / total)
+
+
+def dice_reaches(a, b, ratio: float) -> Column:
+    """Is the Dice coefficient of two readings' `grams` at least `ratio`? Bounds that need no counting decide most pairs."""
+    ga, gb = a["grams"], b["grams"]
+    total = F.size(ga) + F.size(gb)
+    fewer = F.least(F.size(ga), F.size(gb))
+    most = F.least(F.size(ga) - F.size(F.array_except(ga, gb)), F.size(gb) - F.size(F.array_except(gb, ga)))
+    low = (total > 0) & ((fewer * 2.0 < total * F.lit(ratio)) | (most * 2.0 < total * F.lit(ratio)))
+    return F.when(low, False).otherwise(_dice(ga, gb, a["norm"] == b["norm"]) >= ratio)
 
 
 def features(content: Column, dialect: str = "foreign") -> list[Column]:
-    """What `looks_dual` compares, computed once a text: norm, norm_len, toks, tok_len."""
+    """What `looks_dual` compares, computed once a text: norm, norm_len, toks, tok_len, grams."""
     norm, toks = normalized(content, dialect), tokens(content, dialect)
-    return [norm.alias("norm"), F.length(norm).alias("norm_len"), toks.alias("toks"), F.aggregate(toks, F.lit(0), lambda n, t: n + F.length(t)).alias("tok_len")]
+    return [norm.alias("norm"), F.length(norm).alias("norm_len"), toks.alias("toks"), F.aggregate(toks, F.lit(0), lambda n, t: n + F.length(t)).alias("tok_len"), bigrams(norm).alias("grams")]
 
 
-def looks_dual(a, b, ratio: float = 0.82, containment: float = 0.7, coverage: float = 0.6, least_chars: int = 8, measure=dice) -> Column:
-    """Are two readings (indexable by norm, norm_len, toks, tok_len) the same text? Equal, one in the other, enough shared
-    tokens, or a high enough `measure`, tried in this order."""
+def looks_dual(a, b, ratio: float = 0.82, containment: float = 0.7, coverage: float = 0.6, least_chars: int = 8, reaches=dice_reaches) -> Column:
+    """Are two readings (indexable by what `features` names) the same text? Equal, one in the other, enough shared
+    tokens, or a high enough measure, tried in this order."""
     short_len = F.least(a["norm_len"], b["norm_len"])
     within = F.when(a["norm_len"] <= b["norm_len"], F.contains(b["norm"], a["norm"])).otherwise(F.contains(a["norm"], b["norm"]))
     na, nb = F.size(a["toks"]), F.size(b["toks"])
@@ -99,7 +112,7 @@ def looks_dual(a, b, ratio: float = 0.82, containment: float = 0.7, coverage: fl
         .when(a["norm"] == b["norm"], True)
         .when((short_len >= least_chars) & within, True)
         .when(by_tokens, True)
-        .otherwise(measure(a["norm"], b["norm"]) >= ratio)
+        .otherwise(reaches(a, b, ratio))
     )
 
 

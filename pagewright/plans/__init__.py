@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["boxes"]
+_MODULES = ["boxes", "texts"]
 
 
 def _all(name: str) -> dict:
