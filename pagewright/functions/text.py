@@ -57,16 +57,21 @@ def looks_like_body(c: Column, least_chars: int = 150, least_lines: int = 3, lea
     return (solid >= least_chars) & (lines >= least_lines) & (words >= solid * least_share)
 
 
-def fuzzy_hits(some: Column, others: Column, head: int = 4) -> Column:
-    """How many of `some` tokens are among the others, or share the first `head` characters with one."""
-    heads = F.transform(F.filter(others, lambda o: F.length(o) >= head), lambda o: F.left(o, F.lit(head)))
+def token_heads(toks: Column, head: int = 4) -> Column:
+    return F.array_distinct(F.transform(F.filter(toks, lambda o: F.length(o) >= head), lambda o: F.left(o, F.lit(head))))
+
+
+def fuzzy_hits(some: Column, others: Column, heads: Column, head: int = 4) -> Column:
+    """How many of `some` tokens are among the others, or share the first `head` characters with one (`heads`)."""
     return F.size(F.filter(some, lambda t: F.array_contains(others, t) | ((F.length(t) >= head) & F.array_contains(heads, F.left(t, F.lit(head))))))
 
 
 def bigrams(c: Column) -> Column:
     """All pairs of neighbouring characters, with repeats."""
     n = F.length(c)
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    chars = F.split(c, "")
+    pairs = F.zip_with(F.slice(chars, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda x, y: F.concat(x, y))
+    return F.when(n >= 2, pairs).otherwise(F.array().cast("array<string>"))
 
 
 def dice(a: Column, b: Column) -> Column:
@@ -92,9 +97,9 @@ def dice_reaches(a, b, ratio: float) -> Column:
 
 
 def features(content: Column, dialect: str = "foreign") -> list[Column]:
-    """What `looks_dual` compares, computed once a text: norm, norm_len, toks, tok_len, grams."""
+    """What `looks_dual` compares, computed once a text: norm, norm_len, toks, tok_len, grams, heads."""
     norm, toks = normalized(content, dialect), tokens(content, dialect)
-    return [norm.alias("norm"), F.length(norm).alias("norm_len"), toks.alias("toks"), F.aggregate(toks, F.lit(0), lambda n, t: n + F.length(t)).alias("tok_len"), bigrams(norm).alias("grams")]
+    return [norm.alias("norm"), F.length(norm).alias("norm_len"), toks.alias("toks"), F.aggregate(toks, F.lit(0), lambda n, t: n + F.length(t)).alias("tok_len"), bigrams(norm).alias("grams"), token_heads(toks).alias("heads")]
 
 
 def looks_dual(a, b, ratio: float = 0.82, containment: float = 0.7, coverage: float = 0.6, least_chars: int = 8, reaches=dice_reaches) -> Column:
@@ -103,7 +108,7 @@ def looks_dual(a, b, ratio: float = 0.82, containment: float = 0.7, coverage: fl
     short_len = F.least(a["norm_len"], b["norm_len"])
     within = F.when(a["norm_len"] <= b["norm_len"], F.contains(b["norm"], a["norm"])).otherwise(F.contains(a["norm"], b["norm"]))
     na, nb = F.size(a["toks"]), F.size(b["toks"])
-    hits = F.when(na <= nb, fuzzy_hits(a["toks"], b["toks"])).otherwise(fuzzy_hits(b["toks"], a["toks"]))
+    hits = F.when(na <= nb, fuzzy_hits(a["toks"], b["toks"], b["heads"])).otherwise(fuzzy_hits(b["toks"], a["toks"], a["heads"]))
     few = F.least(na, nb)
     covered = F.least(a["tok_len"] / a["norm_len"], b["tok_len"] / b["norm_len"]) >= coverage
     by_tokens = (few > 0) & (hits >= few * F.lit(containment)) & covered & ((few >= 3) | ((hits == few) & (short_len >= least_chars)))

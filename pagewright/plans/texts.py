@@ -27,7 +27,7 @@ def _documents(*columns):
     return q
 
 
-FEATURES = ["norm", "norm_len", "toks", "tok_len", "grams"]
+FEATURES = ["norm", "norm_len", "toks", "tok_len", "grams", "heads"]
 C, X = (lambda: F.col("content")), (lambda: F.col("text"))
 
 
@@ -45,7 +45,7 @@ def _sides() -> tuple[dict, dict]:
 
 def text_fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
     a, b = _sides()
-    return neighbours(spark, d).select("a_block_id", "b_block_id", T.fuzzy_hits(a["toks"], b["toks"]).alias("hits"))
+    return neighbours(spark, d).select("a_block_id", "b_block_id", T.fuzzy_hits(a["toks"], b["toks"], b["heads"]).alias("hits"))
 
 
 def text_dual_foreign(spark: SparkSession, d: str) -> DataFrame:
