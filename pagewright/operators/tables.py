@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions.text import trim
 
@@ -148,7 +149,11 @@ def html_grid(content: str | None) -> dict | None:
     return {"cols": cols, "rows": [{"cells": [{"text": t, "colspan": n} for t, n in r]} for r in full]}
 
 
-@F.pandas_udf(GRID)
+_CELL = T.StructType([T.StructField("text", T.StringType()), T.StructField("colspan", T.IntegerType())])
+_ROW = T.StructType([T.StructField("cells", T.ArrayType(_CELL))])
+
+
+@F.pandas_udf(T.StructType([T.StructField("cols", T.IntegerType()), T.StructField("rows", T.ArrayType(_ROW))]))
 def parse_html(content: pd.Series) -> pd.DataFrame:
     found = [html_grid(c) or {"cols": None, "rows": None} for c in content]
     return pd.DataFrame(found, columns=["cols", "rows"])
