@@ -2,7 +2,7 @@
 
 Method: a multi-label linear classifier (logistic, one label a defect) on hashed n-grams of the response (crossed with the
 language asked for, for wrong_language) and on pair features. It is trained on at most SAMPLE pairs of the data, those of
-least hash, taken as good, and on defective ones made from them: cut, copied, swapped for one in another language, refused.
+least hash, of which those that keep the content's names, length and sentences are taken as good, and on defective ones made from them: cut, copied, swapped for one in another language, refused.
 Pairs that the first fit holds for defective leave the good ones, and it is fitted again. Thresholds are calibrated on a part
 of the pairs that isn't trained on, for defects PRIOR as frequent as good pairs. An `empty` response has no letter or digit,
 or only a word for nothing; the model isn't asked. Of several defects the first of empty, copied, refusal, wrong_language,
@@ -119,6 +119,12 @@ def features(content: str, answer: str, common: frozenset) -> list[float]:
     ]
 
 
+def is_sound(f: list[float]) -> bool:
+    """May the pair serve as a good one to train on? It keeps the content's names and numbers, length and sentences."""
+    v = dict(zip(FEATURES, f, strict=True))
+    return v["copy"] < 0.5 and v["kept"] >= 0.5 and not v["last_missing"] and not v["unended"] and not v["mark"] and not v["stops_missing"] and v["short_z"] < 0.7 and v["long_z"] < 0.9
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each n-gram, first n-gram of each text and the end): 3-grams of letters and words, digits masked."""
     low = [re.sub(r"\d+", "0", t.lower()) or " " for t in texts]
@@ -153,6 +159,7 @@ class Model:
         rng = np.random.default_rng(SEED)
         n = np.diff(first)
         scale = (1 / np.sqrt(np.maximum(n, 1))).astype(np.float32)
+        passes = max(passes, -(-320 * size // max(len(n), 1)))  # few examples are gone through more often
         gw, gv = np.full_like(self.w, 0.05), np.full_like(self.v, 0.05)
         for _ in range(passes):
             order = rng.permutation(len(n))
@@ -215,11 +222,15 @@ def train(pairs: list[tuple[str, str, str]]) -> Model:
     for _, _, lang in pairs:
         count[lang] = count.get(lang, 0) + 1
     languages = sorted(k for k, n in count.items() if n >= LEAST_OF_LANGUAGE)
-    model = Model(languages, common)
     if len(pairs) < 20:
+        model = Model(languages, common)
         model.limits[:] = np.inf
         return model
+    sound = [p for p in pairs if is_sound(features(p[0], p[1], common))]
+    pairs = sound if len(sound) >= 20 else pairs
+    languages = [k for k in languages if any(p[2] == k for p in pairs)]
     by_lang = {k: [p for p in pairs if p[2] == k] for k in languages}
+    model = Model(languages, common)
     nd, k = len(DEFECTS), len(DEFECTS) + len(languages)
     texts, pair, labels, weights, origin = [], [], [], [], []
 
@@ -247,6 +258,9 @@ def train(pairs: list[tuple[str, str, str]]) -> Model:
         c = _cut(rng, y)
         if has_text(c) and len(c) < len(y) - 1:
             add(x, c, 2, lang if len(c) > 40 else None, i)
+        if len(y) > 30:  # short texts, as titles are, tell their language too
+            at = int(rng.integers(0, len(y) - 15))
+            add(x, y[at : at + int(rng.integers(15, 46))].strip() or y, None, lang, i)
         others = [o for o in languages if o != lang]
         if others:
             pool = by_lang[others[rng.integers(len(others))]]

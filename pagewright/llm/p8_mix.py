@@ -88,7 +88,8 @@ def rates(targets: DataFrame, totals: DataFrame) -> DataFrame:
     there = F.when((F.col("source_tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0), F.col("target_share"))
     j = j.withColumn("share", there / F.sum(there).over(of_mix))
     j = j.withColumn("total", F.min(F.col("source_tokens") * F.col("max_repeats") / F.col("share")).over(of_mix))
-    return j.withColumn("rate", F.coalesce(F.least(F.col("share") * F.col("total") / F.col("source_tokens"), F.col("max_repeats").cast("double")), F.lit(0.0)))
+    rate = F.when(F.col("share") > 0, F.least(F.col("share") * F.col("total") / F.col("source_tokens"), F.col("max_repeats").cast("double")))
+    return j.withColumn("rate", F.coalesce(rate, F.lit(0.0)))
 
 
 def mixed(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
