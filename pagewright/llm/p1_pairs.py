@@ -305,8 +305,8 @@ def train(pairs: list[tuple[str, str, str]]) -> Model:
         hit = 1 - np.searchsorted(pos, grid) / len(pos)
         false = (1 - np.searchsorted(neg, grid) / len(neg)) + 0.5 / len(neg)
         f1 = 2 * PRIOR * hit / (PRIOR * hit + false + PRIOR)
-        best = grid[f1 >= 0.985 * f1.max()]  # as good as the best; taken from the strict side of the middle
-        model.limits[j] = float(best.min() + 0.6 * (best.max() - best.min()))
+        best = grid[f1 >= 0.985 * f1.max()]  # as good as the best; taken from the middle
+        model.limits[j] = float(best.min() + 0.45 * (best.max() - best.min()))
     return model
 
 
