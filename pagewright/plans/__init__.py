@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["boxes", "texts", "documents", "library", "native"]
+_MODULES = ["boxes", "texts", "documents", "library", "config", "native"]
 
 
 def _all(name: str) -> dict:
