@@ -1,12 +1,12 @@
 """Problem 1: broken pairs of content and translation: empty, truncated, refusal, copied, wrong_language.
 
-Method: a multi-label linear classifier (logistic, one label a defect) on hashed n-grams of the response (crossed with the
-language asked for, for wrong_language) and on pair features. It is trained on at most SAMPLE pairs of the data, those of
-least hash, of which those that keep the content's names, length and sentences are taken as good, and on defective ones made from them: cut, copied, swapped for one in another language, refused.
-Pairs that the first fit holds for defective leave the good ones, and it is fitted again. Thresholds are calibrated on a part
-of the pairs that isn't trained on, for defects PRIOR as frequent as good pairs. An `empty` response has no letter or digit,
-or only a word for nothing; the model isn't asked. Of several defects the first of empty, copied, refusal, wrong_language,
-truncated is given.
+Method: a multi-label linear classifier (logistic, one label a defect) on hashed n-grams of the response (for wrong_language
+one label for each language asked for) and on pair features. It is trained on SAMPLE to twice as many pairs of the data, every
+n-th by hash, of which those that keep the content's names, length and sentences are taken as good, and on defective ones made
+from them: cut, copied, swapped for one in another language, refused. Pairs that the first fit holds for defective leave the
+good ones, and it is fitted again. Thresholds are calibrated on a part of the pairs that isn't trained on, for defects PRIOR as
+frequent as good pairs. An `empty` response has no letter or digit, or only a word for nothing; the model isn't asked. Of
+several defects the first of empty, copied, refusal, wrong_language, truncated is given.
 
 A null translation, a null content and tables are no cases, nor are contents of codes and numbers that stay as they are;
 a page without a language asked for has no wrong_language. Redelivered blocks give one row. The sample is the only bound;
@@ -338,8 +338,10 @@ def defects(pairs: DataFrame, pages: DataFrame, sample: int = SAMPLE) -> DataFra
     """pairs(block_id, book_id, page_index, content, translation), pages(book_id, page_index, target_lang) -> (block_id, defect)."""
     pairs = pairs.filter("translation is not null and content is not null")
     asked = pages.select("book_id", "page_index", F.lower(F.trim("target_lang")).alias("lang")).dropDuplicates(["book_id", "page_index"])
-    some = pairs.select("block_id", "book_id", "page_index", "content", "translation").orderBy(F.xxhash64("block_id")).limit(sample)
-    rows = cut_lineage(some).join(asked, ["book_id", "page_index"], "left").dropDuplicates(["block_id"]).orderBy("block_id").collect()
+    every_nth = F.lit(max(1, pairs.count() // sample))  # so between one and two samples' rows come, however many pairs there are
+    some = pairs.select("block_id", "book_id", "page_index", "content", "translation").filter(F.pmod(F.xxhash64("block_id"), every_nth) == 0)
+    rows = cut_lineage(some).join(asked, ["book_id", "page_index"], "left").dropDuplicates(["block_id"]).collect()
+    rows.sort(key=lambda r: r["block_id"])
     model = train([(r["content"], r["translation"], r["lang"] or "und") for r in rows])
     sent = pairs.sparkSession.sparkContext.broadcast(model)
     ddl = "block_id bigint, book_id string, page_index int, defect string, wrong array<boolean>"
