@@ -44,6 +44,34 @@ def test_near_duplicates_equal_brute_force(spark, blocks_of):
     assert got == expected and len(expected) > 3000
 
 
+def test_near_duplicates_with_rare_word_edits(spark, blocks_of):
+    rng = random.Random(12)
+    texts = []
+    for i in range(250):  # frequent words only; the copy's edits bring words that stand nowhere else
+        base = [rng.choice(VOCABULARY) for _ in range(rng.randrange(60, 90))]
+        edited = list(base)
+        for k in rng.sample(range(0, len(base), 4), 5):
+            edited[k] = f"misread{i}x{k}"
+        texts += [" ".join(base), " ".join(edited)]
+    texts += [" ".join(rng.choice(VOCABULARY) for _ in range(80)) for _ in range(800)]
+    members, links = N.classes_and_links(blocks_of([(i, "b", i, 0, "text", t) for i, t in enumerate(texts)]))
+    got = {tuple(r) for r in N.pairs_of(members, links).collect()}
+    sets = [shingles(t) for t in texts]
+    expected = {(i, i + 1) for i in range(0, 500, 2) if len(sets[i] & sets[i + 1]) >= 0.6 * len(sets[i] | sets[i + 1])}
+    assert got == expected and len(expected) > 60
+
+
+def test_prefixes_of_alike_sets_meet():
+    rng = random.Random(13)
+    for _ in range(2000):
+        shared, a, b = rng.randrange(1, 60), rng.randrange(20), rng.randrange(20)
+        order = rng.sample(range(200), shared + a + b)
+        x, y = sorted(order[: shared + a]), sorted(order[:shared] + order[shared + a :])
+        if shared >= 0.6 * (shared + a + b):
+            n = N.prefix_length(np.array([len(x), len(y)]), 0.6)
+            assert set(x[: n[0]]) & set(y[: n[1]])
+
+
 def test_components_equal_brute_force(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
