@@ -1,18 +1,21 @@
 """Problem 9: text decoded with the wrong character encoding, and its restoration.
 
-Method: minimum description length. For every paragraph with characters that its language doesn't usually have, each chain of
-"encode as what it was wrongly read in, decode as what it was" that applies is a candidate; a candidate's length is that of
+Method: minimum description length. For every paragraph with other than ASCII characters, each chain of
+"encode as what it was wrongly read in, decode as what it was" that applies is a candidate, unless its characters are seen in
+documents clearly less often than the paragraph's own; a candidate's length is that of
 its zstandard compression with the best language's dictionary plus a cost for each step. The shortest wins; the paragraph is
 left as it is unless a chain saves more than its cost. Replacement characters show a wrong decoding that can't be undone;
 what is left of such a paragraph is restored as far as a chain explains it.
 
-The characters that are usual in a language are counted over all documents. Dictionaries are trained on at most about
-SAMPLE documents a language, of which the first SAMPLE_CHARS characters serve. Null, empty and ASCII texts are no cases; every
+In how many documents of a language a character is seen is counted over all documents. Dictionaries are trained on at most about
+SAMPLE documents a language, of which the first SAMPLE_CHARS characters serve; paragraphs that a chain turns into more usual
+characters stay out, so that an encoding that is often wrong isn't learned. Null, empty and ASCII texts are no cases; every
 paragraph of a text is looked at; repeated rows give one row.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 
@@ -24,6 +27,10 @@ from .common import map_arrow, strings, table
 
 #: A character is usual in a language if this share of its documents have it.
 USUAL = 0.02
+#: Shares of documents are known from this one on; unseen characters count as half of it.
+SEEN = 0.001
+#: A candidate isn't compressed if its characters' mean log share of documents is so much lower than the paragraph's own.
+SLACK = 1.0
 SAMPLE = 300
 SAMPLE_CHARS = 4000
 DICTIONARY_BYTES = 48 * 1024
@@ -106,21 +113,27 @@ _RUN = re.compile(r"[^\x00-\x7f]+")
 
 
 def may_be_utf8(text: str) -> bool:
-    """Could the first run of other than ASCII characters be UTF-8 read in a one-byte encoding?"""
-    run = _RUN.search(text)
-    if not run or len(run.group()) < 2:
-        return False
+    """Could a run of other than ASCII characters be UTF-8 read in a one-byte encoding?"""
+    return any(len(run) > 1 and _run_may_be_utf8(run) for run in set(_RUN.findall(text)))
+
+
+@lru_cache(maxsize=100_000)
+def _run_may_be_utf8(run: str) -> bool:
     for read_as, written_in in STEPS:
         if written_in == "utf-8" and read_as not in _WIDE:
             own = _bytes_of(read_as)
             try:
-                b"".join([own[c] for c in run.group()]).decode("utf-8")
+                b"".join([own[c] for c in run]).decode("utf-8")
                 return True
             except (KeyError, UnicodeDecodeError):
                 pass
     return False
 
 
+def _odd(text: str) -> set[str]:
+    return {c for c in set(text) if c > "\x7f" and c != LOST}
+
+
 def _script(text: str) -> str:
     han = sum("一" <= c <= "鿿" for c in text)
     cyr = sum("Ѐ" <= c <= "ӿ" for c in text)
@@ -130,8 +143,12 @@ def _script(text: str) -> str:
 class Judge:
     """Usual characters and compression dictionaries by language; decides on paragraphs."""
 
-    def __init__(self, usual: dict[str, frozenset], dictionaries: dict[str, bytes]):
-        self.usual, self.dictionaries, self.compressors = usual, dictionaries, None
+    def __init__(self, usual: dict[str, frozenset], dictionaries: dict[str, bytes], shares: dict[str, dict[str, float]]):
+        self.usual, self.dictionaries, self.shares, self.compressors = usual, dictionaries, shares, None
+        self.anywhere: dict[str, float] = {}  # a character's largest share in any language
+        for own in shares.values():
+            for c, x in own.items():
+                self.anywhere[c] = max(x, self.anywhere.get(c, 0.0))
 
     def _ready(self) -> dict:
         if self.compressors is None:
@@ -146,7 +163,7 @@ class Judge:
         return self.compressors
 
     def __getstate__(self) -> tuple:
-        return self.usual, self.dictionaries
+        return self.usual, self.dictionaries, self.shares
 
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
@@ -160,6 +177,52 @@ class Judge:
             return False
         return own is not None or not any(odd <= u for u in self.usual.values())
 
+    def usualness(self, odd: set[str], lang: str = "") -> float:
+        """Mean log share of documents with each of the characters, in the language or (if it isn't known) in any."""
+        share = self.shares.get(lang, self.anywhere)
+        return sum(math.log(share.get(c, SEEN / 2)) for c in odd) / len(odd) if odd else 0.0
+
+    def possible(self, odd: set[str], runs: str, read_as: str, written_in: str, least: float, lang: str) -> bool:
+        """Does a step from one-byte characters apply, by the text's other than ASCII characters alone, and may its outcome be
+        right? It must be as usual as `least`; one of UTF-8 only must not lose more characters than it gives."""
+        if read_as in _WIDE:
+            return True
+        own = _bytes_of(read_as)
+        if not all(c in own for c in odd):
+            return False
+        if written_in == "utf-8":
+            out = b"".join([own.get(c, b"\xff") for c in runs]).decode("utf-8", "replace")
+            good = sum(c > "\x7f" and c != LOST for c in out)
+            return good > 0 and good >= out.count(LOST) - runs.count(LOST)
+        if written_in in _WIDE or not self.shares:
+            return True
+        to = _chars_of(written_in)
+        return self.usualness({x for c in odd if (x := to[own[c][0]]) > "\x7f"}, lang) >= least
+
+    def plausible(self, out: str, read_as: str, written_in: str) -> bool:
+        """Several bytes a character spread over many characters, so there it is asked whether most are seen at all."""
+        if not self.shares or (written_in == "utf-8" or written_in not in _WIDE) and read_as not in _WIDE:
+            return True
+        odd = _odd(out)
+        return 2 * sum(c in self.anywhere for c in odd) >= len(odd)
+
+    def explained(self, paragraph: str, lang: str) -> bool:
+        """Does a step turn the paragraph into more usual characters? Such paragraphs don't show what a language is like."""
+        before, runs = _odd(paragraph), " ".join(_RUN.findall(paragraph))
+        own = self.usualness(before, lang)
+        for read_as, written_in in STEPS:
+            out = step(paragraph, read_as, written_in) if self.possible(before, runs, read_as, written_in, own, lang) else None
+            if out is None:
+                continue
+            odd = _odd(out)
+            if written_in in _WIDE or read_as in _WIDE:
+                strict = cost(read_as, written_in) == 0 and LOST not in out
+                if odd and (strict or _script(out) == "zh" != _script(paragraph)) and all(c in self.anywhere for c in odd):
+                    return True
+            elif self.usualness(odd, lang) > own + 0.1:
+                return True
+        return False
+
     def length(self, text: str, lang: str) -> int:
         c, script, raw = self._ready(), _script(text), even(text)
         if script in c:
@@ -173,18 +236,25 @@ class Judge:
         """(text, chain); the chain is empty where the paragraph stays."""
         best, least, chain = paragraph, self.length(paragraph, lang) - LEAST_SAVED, ""
         start = least
+        odd = _odd(paragraph)
+        own = self.usualness(odd, lang) - SLACK
+        # A paragraph may be in another language than its document, unless all its characters are usual in this one.
+        within = lang if odd <= self.usual.get(lang, frozenset()) else ""
         layer = [(paragraph, "", 0)]
         seen = {paragraph}
         for depth in (1, 2, 3):
             after = []
             for text, steps, spent in layer:
+                odd, runs = _odd(text), " ".join(_RUN.findall(text))
                 for read_as, written_in in STEPS if depth == 1 else STEPS[:9]:
-                    out = step(text, read_as, written_in)
+                    out = step(text, read_as, written_in) if self.possible(odd, runs, read_as, written_in, own, within) else None
                     if out is None or out in seen:
                         continue
                     seen.add(out)
                     name = f"{steps}, {written_in} read as {read_as}".lstrip(", ")
                     paid = spent + cost(read_as, written_in)
+                    if not self.plausible(out, read_as, written_in):
+                        continue
                     n = self.length(out, lang) + paid
                     if n < least:
                         best, least, chain = out, n, name
@@ -219,22 +289,25 @@ def judge(documents: DataFrame) -> Judge:
     texts = documents.select("doc_id", "text", _lang().alias("lang")).filter("text is not null")
     counts = map_arrow(texts.select("text", "lang"), _usual_counts, "lang string, char string, n bigint").groupBy("lang", "char").agg(F.sum("n").alias("n"))
     total = counts.filter("char = ''").select("lang", F.col("n").alias("total")).filter((F.col("total") >= LEAST_DOCUMENTS) & (F.col("lang") != "und"))
-    rows = counts.join(F.broadcast(total), "lang").filter(F.col("n") >= F.col("total") * USUAL).collect()  # at most characters a document / USUAL for each language
+    rows = counts.join(F.broadcast(total), "lang").filter(F.col("n") >= F.col("total") * SEEN).collect()  # at most characters a document / SEEN for each language
     usual: dict[str, set] = {}
+    shares: dict[str, dict] = {}
     sizes = {}
     for r in rows:
-        usual.setdefault(r["lang"], set()).add(r["char"])
+        if r["n"] >= r["total"] * USUAL:
+            usual.setdefault(r["lang"], set()).add(r["char"])
+        shares.setdefault(r["lang"], {})[r["char"]] = r["n"] / r["total"]
         sizes[r["lang"]] = r["total"]
     if not sizes:
-        return Judge({}, {})
+        return Judge({}, {}, {})
     wanted = F.lit(False)
     for lang, n in sizes.items():
         wanted = wanted | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE))) == 0))
-    found = Judge({k: frozenset(v) for k, v in usual.items()}, {})
+    found = Judge({k: frozenset(v) for k, v in usual.items()}, {}, shares)
     samples: dict[str, list[bytes]] = {}
     for r in texts.filter(wanted).select("lang", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).collect():
         for p in r["text"].split("\n"):
-            if p and not found.suspicious(p, r["lang"]):
+            if p and (p.isascii() or _odd(p) <= found.usual.get(r["lang"], set()) and not found.explained(p, r["lang"])):
                 samples.setdefault(r["lang"], []).append(even(p))
     for lang, s in samples.items():
         try:
@@ -255,7 +328,7 @@ def restored(documents: DataFrame) -> DataFrame:
                 continue
             parts, names = t.split("\n"), set()
             for k, p in enumerate(parts):
-                if not p.isascii() and (LOST in p or sent.value.suspicious(p, lang)):
+                if not p.isascii():
                     parts[k], chain = sent.value.restore(p, lang)
                     if chain:
                         names.add(chain)

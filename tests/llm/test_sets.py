@@ -176,3 +176,18 @@ def test_documents(spark):
     d = spark.createDataFrame(good + bad + bad[:1], "doc_id bigint, text string, lang string").withColumn("chains", F.lit(1))
     got = {r["doc_id"]: (r["text"], r["lost"]) for r in E.restored(d).collect()}
     assert set(got) == {100, 101} and got[100] == ("Bonjour\n" + FRENCH, False) and got[101] == ("perdu � ici", True)
+
+
+@pytest.mark.parametrize(("read_as", "written_in"), [("latin-1", "cp1251"), ("cp1251", "koi8_r"), ("cp866", "cp1251"), ("latin-1", "utf-8")])
+def test_a_source_that_garbles_a_third_of_a_language(spark, read_as, written_in):
+    rng = random.Random(14)
+    nouns = RUSSIAN.replace(",", "").replace(".", "").split()
+    right = [" ".join(rng.choice(nouns) for _ in range(14)).capitalize() + "." for _ in range(240)]
+    rows = [(i, t.encode(written_in).decode(read_as) if i % 3 == 0 else t, "ru") for i, t in enumerate(right)]
+    rows += [(1000 + i, FRENCH, "fr") for i in range(40)]
+    got = {r["doc_id"]: r["text"] for r in E.restored(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert got == {i: t for i, t in enumerate(right) if i % 3 == 0}
+
+
+def test_every_run_may_be_utf8():
+    assert E.may_be_utf8("\u00bd of the r\u00c3\u00a9gion") and not E.may_be_utf8("d\u00e9j\u00e0 \u00e9t\u00e9")
