@@ -85,6 +85,10 @@ def cost(read_as: str, written_in: str) -> int:
 
 def step(text: str, read_as: str, written_in: str) -> str | None:
     """The text as it would be had it been decoded right; None where it can't have been read so."""
+    if LOST in text and written_in != "utf-8" and written_in not in _WIDE:  # what is lost stays so
+        parts = [p if p.isascii() else step(p, read_as, written_in) for p in text.split(LOST)]
+        out = None if None in parts else LOST.join(parts)
+        return out if out != text else None
     try:
         if read_as in _WIDE:
             raw = b"\xff".join(part.encode(read_as) for part in text.split(LOST)) if LOST in text else text.encode(read_as)
@@ -235,7 +239,6 @@ class Judge:
     def restore(self, paragraph: str, lang: str) -> tuple[str, str]:
         """(text, chain); the chain is empty where the paragraph stays."""
         best, least, chain = paragraph, self.length(paragraph, lang) - LEAST_SAVED, ""
-        start = least
         odd = _odd(paragraph)
         own = self.usualness(odd, lang) - SLACK
         # A paragraph may be in another language than its document, unless all its characters are usual in this one.
@@ -243,22 +246,28 @@ class Judge:
         layer = [(paragraph, "", 0)]
         seen = {paragraph}
         for depth in (1, 2, 3):
+            # chains go on after legacy encodings too, until what is found has usual characters only
+            deep = not _odd(best) <= self.usual.get(lang, frozenset())
+            # what a chain passes through needn't be usual, only what it ends in
+            limit = -math.inf if deep and depth < 3 else own
             after = []
             for text, steps, spent in layer:
                 odd, runs = _odd(text), " ".join(_RUN.findall(text))
-                for read_as, written_in in STEPS if depth == 1 else STEPS[:9]:
-                    out = step(text, read_as, written_in) if self.possible(odd, runs, read_as, written_in, own, within) else None
+                for read_as, written_in in STEPS:
+                    out = step(text, read_as, written_in) if self.possible(odd, runs, read_as, written_in, limit, within) else None
                     if out is None or out in seen:
                         continue
                     seen.add(out)
                     name = f"{steps}, {written_in} read as {read_as}".lstrip(", ")
                     paid = spent + cost(read_as, written_in)
-                    if not self.plausible(out, read_as, written_in):
+                    if not deep and not self.plausible(out, read_as, written_in):
                         continue
+                    if depth > 1 and paid and out.count(LOST) > paragraph.count(LOST):
+                        continue  # a chain with legacy encodings that loses characters explains nothing
                     n = self.length(out, lang) + paid
                     if n < least:
                         best, least, chain = out, n, name
-                    if written_in == "utf-8" and n < start + 40 and any(c > "\x7f" for c in out):
+                    if (written_in == "utf-8" or deep) and any(c > "\x7f" for c in out):
                         after.append((out, name, paid))
             layer = after
             if not layer:

@@ -191,3 +191,15 @@ def test_a_source_that_garbles_a_third_of_a_language(spark, read_as, written_in)
 
 def test_every_run_may_be_utf8():
     assert E.may_be_utf8("\u00bd of the r\u00c3\u00a9gion") and not E.may_be_utf8("d\u00e9j\u00e0 \u00e9t\u00e9")
+
+
+@pytest.mark.parametrize(("first", "second"), [(("latin-1", "cp1251"), ("latin-1", "utf-8")), (("latin-1", "cp1251"), ("cp1251", "utf-8")), (("koi8_r", "cp1251"), ("latin-1", "utf-8")), (("latin-1", "cp1251"), ("mac_roman", "latin-1"))])
+def test_chains_of_unlike_steps(judge, first, second):
+    text = RUSSIAN
+    for read_as, written_in in (first, second):
+        text = text.encode(written_in).decode(read_as)
+    assert judge.restore(text, "ru")[0] == RUSSIAN
+
+
+def test_lost_characters_stay_lost(judge):
+    assert E.step("d\u00e9j\u00e0 \ufffd ici", "win", "cp850") == "d\u00daj\u00d3 \ufffd ici" and E.step("a \ufffd b", "gbk", "win") is None
