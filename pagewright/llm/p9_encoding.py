@@ -1,46 +1,49 @@
 """Problem 9: text decoded with the wrong character encoding, and its restoration.
 
-Method: minimum description length. For every paragraph with other than ASCII characters, each chain of
-"encode as what it was wrongly read in, decode as what it was" that applies is a candidate, unless its characters are seen in
-documents clearly less often than the paragraph's own; a candidate's length is that of
-its zstandard compression with the best language's dictionary plus a cost for each step. The shortest wins; the paragraph is
-left as it is unless a chain saves more than its cost. Replacement characters show a wrong decoding that can't be undone;
-what is left of such a paragraph is restored as far as a chain explains it.
-
-In how many documents of a language a character is seen is counted over all documents. Dictionaries are trained on at most about
-SAMPLE documents a language, of which the first SAMPLE_CHARS characters serve; paragraphs that a chain turns into more usual
-characters stay out, so that an encoding that is often wrong isn't learned. Null, empty and ASCII texts are no cases; every
-paragraph of a text is looked at; repeated rows give one row.
+Method: minimum description length. For every paragraph with other than ASCII characters, each chain of "encode as what it
+was wrongly read in, decode as what it was" that applies is a candidate: up to three steps, of which up to two legacy ones
+may follow each other, and one may precede each step of UTF-8. A candidate's length is that of its zstandard compression with
+the best language's dictionary plus a cost for each step. The shortest wins; the paragraph is left as it is unless a chain
+saves more than its cost. Replacement characters show a wrong decoding that can't be undone; what is left of such a paragraph
+is restored as far as a chain explains it.
+
+Candidates are found for all paragraphs of a batch at once: a chain of one-byte encodings is a map of characters, so one
+product of the paragraphs' character counts with the code lengths of all chains' outcomes gives each outcome's length by
+single characters; one with the bytes' roles in UTF-8 tells which can be UTF-8. Only an outcome whose single characters take no
+more than the paragraph's own is compressed: others are longer by any measure. Whatever reads as UTF-8 without loss is a step
+on the way, however unlikely.
+
+Characters are counted over all documents. Dictionaries are trained on paragraphs of about SAMPLE_CHARS characters a language;
+paragraphs that a chain turns into clearly more usual characters stay out, so that an encoding that is often wrong isn't
+learned. Null, empty and ASCII texts are no cases; every paragraph of a text is looked at; repeated rows give one row.
 """
 
 from __future__ import annotations
 
-import math
-import re
+import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, strings, table
+from .common import batch, cut_lineage, map_arrow, slices, strings, table
+from .vec import codes, mix
 
-#: A character is usual in a language if this share of its documents have it.
-USUAL = 0.02
-#: Shares of documents are known from this one on; unseen characters count as half of it.
-SEEN = 0.001
-#: A candidate isn't compressed if its characters' mean log share of documents is so much lower than the paragraph's own.
-SLACK = 1.0
-SAMPLE = 300
-SAMPLE_CHARS = 4000
+#: Characters are known from this share of a language's characters on; the others have a code length of UNSEEN nats.
+SEEN = 1e-7
+UNSEEN = 17.0
+#: An outcome is compressed if its characters' code length is less than the paragraph's own by this for each of its other than
+#: ASCII characters.
+GAIN = 0.25
+SAMPLE_CHARS = 300_000
 DICTIONARY_BYTES = 48 * 1024
 LEAST_DOCUMENTS = 20
 #: Bytes that each step of a chain costs (none where one-byte characters read as valid UTF-8, which chance doesn't bring
 #: about), and that a chain must save beyond them.
 STEP_COST = 2
 LEAST_SAVED = 1
-#: Characters that UTF-8 writes with two bytes are moved where it takes three, so that no alphabet counts as shorter.
-EVEN = {c: 0xE000 + c for c in range(0x80, 0x800)}
 LOST = "�"
 
 # Fixed values: (read as, written in). Both are names of Python's codecs; "win" is cp1252 with the five unused bytes kept.
@@ -76,7 +79,9 @@ _WIDE = {"gbk", "big5", "cp932", "utf-8"}
 
 
 def even(text: str) -> bytes:
-    return text.translate(EVEN).encode("utf-8", "surrogatepass")
+    """UTF-8 in which the characters that take two bytes are moved to where it takes three, so that no alphabet counts as shorter."""
+    c = _code_points(text)
+    return np.where((c >= 0x80) & (c < 0x800), c + np.uint32(0xE000), c).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
 
 
 def cost(read_as: str, written_in: str) -> int:
@@ -113,46 +118,105 @@ def step(text: str, read_as: str, written_in: str) -> str | None:
     return out if out != text else None
 
 
-_RUN = re.compile(r"[^\x00-\x7f]+")
+#: Legacy steps that may follow each other, and steps altogether.
+LEGACY_IN_A_ROW = 2
+MOST_STEPS = 3
 
 
-def may_be_utf8(text: str) -> bool:
-    """Could a run of other than ASCII characters be UTF-8 read in a one-byte encoding?"""
-    return any(len(run) > 1 and _run_may_be_utf8(run) for run in set(_RUN.findall(text)))
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-@lru_cache(maxsize=100_000)
-def _run_may_be_utf8(run: str) -> bool:
-    for read_as, written_in in STEPS:
-        if written_in == "utf-8" and read_as not in _WIDE:
-            own = _bytes_of(read_as)
-            try:
-                b"".join([own[c] for c in run]).decode("utf-8")
-                return True
-            except (KeyError, UnicodeDecodeError):
-                pass
-    return False
+def _script(text: str) -> str:
+    c = _code_points(text)
+    han, cyr = int(((c >= 0x4E00) & (c <= 0x9FFF)).sum()), int(((c >= 0x400) & (c <= 0x4FF)).sum())
+    return "zh" if han * 3 > cyr and han else "ru" if cyr * 8 > len(text) else ""
 
 
-def _odd(text: str) -> set[str]:
-    return {c for c in set(text) if c > "\x7f" and c != LOST}
+def script_of(char: str) -> str:
+    """The first word of a letter's Unicode name: LATIN, CYRILLIC, CJK and so on; nothing for other characters."""
+    return unicodedata.name(char, "").split(" ")[0] if char.isalpha() else ""
+
+
+class Chains:
+    """All chains of one-byte encodings as maps over their common alphabet: `legacy` from character to character, `unicode`
+    from character to byte of UTF-8 (with at most one legacy step before)."""
+
+    def __init__(self):
+        one_byte = sorted({c for pair in STEPS for c in pair if c not in _WIDE})
+        chars = sorted({c for e in one_byte for c in _chars_of(e) if c > "\x7f"} | {c for e in one_byte for c in _bytes_of(e) if c > "\x7f"})
+        self.alphabet = np.array([ord(c) for c in chars])
+        self.place = np.full(0x110000, len(chars), dtype=np.int32)  # the last column: none of the alphabet
+        self.place[self.alphabet] = np.arange(len(chars))
+        pairs = [(r, w) for r, w in STEPS if r not in _WIDE and w not in _WIDE]
+        single = {}
+        for r, w in pairs:
+            own, to = _bytes_of(r), _chars_of(w)
+            single[r, w] = np.array([ord(to[own[c][0]]) if c in own else -1 for c in chars])
+        self.legacy: list[tuple[tuple, np.ndarray]] = []
+        seen = {self.alphabet.tobytes()}
+        layer = [((), self.alphabet)]
+        for _ in range(LEGACY_IN_A_ROW):
+            after = []
+            for steps, m in layer:
+                for pair, then in single.items():
+                    out = np.where(m >= 0, np.append(then, -1)[self.place[np.maximum(m, 0)]], -1)
+                    if out.tobytes() not in seen and (out >= 0).any():
+                        seen.add(out.tobytes())
+                        after.append(((*steps, pair), out))
+            self.legacy += after
+            layer = after
+        self.unicode: list[tuple[tuple, np.ndarray]] = []
+        seen = set()
+        for steps, m in [((), self.alphabet), *(x for x in self.legacy if len(x[0]) == 1)]:
+            for r, w in STEPS:
+                if w == "utf-8" and r not in _WIDE:
+                    own = _bytes_of(r)
+                    byte = np.array([own[chr(x)][0] if x >= 0 and chr(x) in own else -1 for x in m.tolist()])
+                    if byte.tobytes() not in seen:
+                        seen.add(byte.tobytes())
+                        self.unicode.append(((*steps, (r, w)), byte))
+        maps = np.stack([m for _, m in self.legacy], axis=1)
+        self.invalid = np.vstack([maps < 0, np.ones((1, maps.shape[1]), bool)])
+        self.targets = np.vstack([np.maximum(maps, 0), np.zeros((1, maps.shape[1]), maps.dtype)]).astype(np.uint32)
+        byte = np.stack([m for _, m in self.unicode], axis=1)
+        self.follows = np.vstack([(byte >= 0x80) & (byte < 0xC0), np.zeros((1, byte.shape[1]), bool)]).astype(np.float32)
+        needs = np.select([byte < 0, byte < 0xC2, byte < 0xE0, byte < 0xF0, byte < 0xF5], [1e6, (byte >= 0xC0) * 1.0, 1.0, 2.0, 3.0], 1.0)
+        self.needs = np.vstack([needs, np.full((1, byte.shape[1]), 1e6)]).astype(np.float32)
+        role = np.select([byte < 0, byte < 0xC0, byte < 0xC2, byte < 0xE0, byte < 0xF0, byte < 0xF5], [5, 1, 5, 2, 3, 4], 5)  # 1 follows, 2 to 4 begin
+        self.roles = np.vstack([role, np.full((1, role.shape[1]), 5), np.zeros((1, role.shape[1]))]).astype(np.int8)
+
+
+    def read_as_unicode(self, code: np.ndarray, maps: np.ndarray) -> list[int]:
+        """Those of the maps under which at least half of the other than ASCII bytes are whole sequences of UTF-8."""
+        place = np.append(np.where(code > 0x7F, self.place[code], len(self.alphabet) + 1), [len(self.alphabet) + 1] * 3)
+        r = self.roles[place[:, None], maps]
+        follows = r == 1
+        whole = np.zeros(len(maps))
+        for n in (1, 2, 3):
+            begins = r[: len(code)] == n + 1
+            for k in range(1, n + 1):
+                begins &= follows[k : len(code) + k]
+            whole += (n + 1) * begins.sum(axis=0)
+        return maps[whole * 2 >= np.maximum((r != 0).sum(axis=0), 1)].tolist()
+
+
+@lru_cache(maxsize=1)
+def chains() -> Chains:
+    return Chains()
 
 
-def _script(text: str) -> str:
-    han = sum("一" <= c <= "鿿" for c in text)
-    cyr = sum("Ѐ" <= c <= "ӿ" for c in text)
-    return "zh" if han * 3 > cyr and han else "ru" if cyr * 8 > len(text) else ""
+class Judge:
+    """Characters' code lengths by script and compression dictionaries by language; decides on paragraphs."""
 
+    def __init__(self, dictionaries: dict[str, bytes], nats: dict[str, dict[str, float]]):
+        self.dictionaries, self.nats, self.compressors, self.tables = dictionaries, nats, None, None
 
-class Judge:
-    """Usual characters and compression dictionaries by language; decides on paragraphs."""
+    def __getstate__(self) -> tuple:
+        return self.dictionaries, self.nats
 
-    def __init__(self, usual: dict[str, frozenset], dictionaries: dict[str, bytes], shares: dict[str, dict[str, float]]):
-        self.usual, self.dictionaries, self.shares, self.compressors = usual, dictionaries, shares, None
-        self.anywhere: dict[str, float] = {}  # a character's largest share in any language
-        for own in shares.values():
-            for c, x in own.items():
-                self.anywhere[c] = max(x, self.anywhere.get(c, 0.0))
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
 
     def _ready(self) -> dict:
         if self.compressors is None:
@@ -166,66 +230,21 @@ class Judge:
             self.compressors = self.compressors or {"": zstandard.ZstdCompressor(level=3, write_content_size=False)}
         return self.compressors
 
-    def __getstate__(self) -> tuple:
-        return self.usual, self.dictionaries, self.shares
-
-    def __setstate__(self, state: tuple) -> None:
-        self.__init__(*state)
-
-    def suspicious(self, paragraph: str, lang: str) -> bool:
-        odd = {c for c in set(paragraph) if c > "\x7f"}
-        if may_be_utf8(paragraph):
-            return True
-        own = self.usual.get(lang)
-        if own is not None and odd <= own:
-            return False
-        return own is not None or not any(odd <= u for u in self.usual.values())
-
-    def usualness(self, odd: set[str], lang: str = "") -> float:
-        """Mean log share of documents with each of the characters, in the language or (if it isn't known) in any."""
-        share = self.shares.get(lang, self.anywhere)
-        return sum(math.log(share.get(c, SEEN / 2)) for c in odd) / len(odd) if odd else 0.0
-
-    def possible(self, odd: set[str], runs: str, read_as: str, written_in: str, least: float, lang: str) -> bool:
-        """Does a step from one-byte characters apply, by the text's other than ASCII characters alone, and may its outcome be
-        right? It must be as usual as `least`; one of UTF-8 only must not lose more characters than it gives."""
-        if read_as in _WIDE:
-            return True
-        own = _bytes_of(read_as)
-        if not all(c in own for c in odd):
-            return False
-        if written_in == "utf-8":
-            out = b"".join([own.get(c, b"\xff") for c in runs]).decode("utf-8", "replace")
-            good = sum(c > "\x7f" and c != LOST for c in out)
-            return good > 0 and good >= out.count(LOST) - runs.count(LOST)
-        if written_in in _WIDE or not self.shares:
-            return True
-        to = _chars_of(written_in)
-        return self.usualness({x for c in odd if (x := to[own[c][0]]) > "\x7f"}, lang) >= least
-
-    def plausible(self, out: str, read_as: str, written_in: str) -> bool:
-        """Several bytes a character spread over many characters, so there it is asked whether most are seen at all."""
-        if not self.shares or (written_in == "utf-8" or written_in not in _WIDE) and read_as not in _WIDE:
-            return True
-        odd = _odd(out)
-        return 2 * sum(c in self.anywhere for c in odd) >= len(odd)
-
-    def explained(self, paragraph: str, lang: str) -> bool:
-        """Does a step turn the paragraph into more usual characters? Such paragraphs don't show what a language is like."""
-        before, runs = _odd(paragraph), " ".join(_RUN.findall(paragraph))
-        own = self.usualness(before, lang)
-        for read_as, written_in in STEPS:
-            out = step(paragraph, read_as, written_in) if self.possible(before, runs, read_as, written_in, own, lang) else None
-            if out is None:
-                continue
-            odd = _odd(out)
-            if written_in in _WIDE or read_as in _WIDE:
-                strict = cost(read_as, written_in) == 0 and LOST not in out
-                if odd and (strict or _script(out) == "zh" != _script(paragraph)) and all(c in self.anywhere for c in odd):
-                    return True
-            elif self.usualness(odd, lang) > own + 0.1:
-                return True
-        return False
+    def _by_script(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each script: nats of each code point (0 of what is lost), and of what each legacy chain makes of the alphabet."""
+        if self.tables is None:
+            self.tables, of = [], chains()
+            for known in self.nats.values() or [{}]:
+                t = np.full(0x110000, UNSEEN, dtype=np.float32)
+                t[[ord(c) for c in known]] = list(known.values())
+                t[ord(LOST)] = 0
+                self.tables.append((t, np.where(of.invalid, 1e6, t[of.targets]).astype(np.float32)))
+        return self.tables
+
+    def nats_of(self, text: str) -> float:
+        """The text's code length by single characters of the script that suits it best."""
+        code = _code_points(text)
+        return min(float(t[code].sum()) for t, _ in self._by_script())
 
     def length(self, text: str, lang: str) -> int:
         c, script, raw = self._ready(), _script(text), even(text)
@@ -236,93 +255,166 @@ class Judge:
             langs = [x for x in langs if x in (lang, "en")] if lang in langs else langs
         return min(len(c[x].compress(raw)) for x in langs or list(c))
 
-    def restore(self, paragraph: str, lang: str) -> tuple[str, str]:
-        """(text, chain); the chain is empty where the paragraph stays."""
-        best, least, chain = paragraph, self.length(paragraph, lang) - LEAST_SAVED, ""
-        odd = _odd(paragraph)
-        own = self.usualness(odd, lang) - SLACK
-        # A paragraph may be in another language than its document, unless all its characters are usual in this one.
-        within = lang if odd <= self.usual.get(lang, frozenset()) else ""
-        layer = [(paragraph, "", 0)]
-        seen = {paragraph}
-        for depth in (1, 2, 3):
-            # chains go on after legacy encodings too, until what is found has usual characters only
-            deep = not _odd(best) <= self.usual.get(lang, frozenset())
-            # what a chain passes through needn't be usual, only what it ends in
-            limit = -math.inf if deep and depth < 3 else own
+    def candidates(self, texts: list[str]) -> list[list[tuple[str, tuple, bool]]]:
+        """For each text the decodings by one more chain: (decoding, its steps, may it be right?). It may if its characters'
+        code length is less than the text's own; what reads as UTF-8 without loss can be a step on the way."""
+        of, tables = chains(), self._by_script()
+        flat, start, end = codes(texts)
+        row = np.repeat(np.arange(len(texts)), end - start + 1)
+        is_lost = flat == ord(LOST)
+        high = (flat > 0x7F) & ~is_lost
+        beside = np.zeros(len(flat), bool)
+        beside[:-1] |= high[1:]
+        beside[1:] |= high[:-1]
+        k = len(of.alphabet) + 1
+        h = np.bincount(row[high] * k + of.place[flat[high]], minlength=len(texts) * k).reshape(len(texts), k).astype(np.float32)
+        n = h.sum(axis=1)
+        lost = np.bincount(row[is_lost], minlength=len(texts))
+        runs = np.bincount(row[high & beside], minlength=len(texts)) * 2 >= n
+        ascii_ = ~high & ~is_lost & (flat != 0)
+        plain = [np.bincount(row[ascii_], weights=t[flat[ascii_]], minlength=len(texts)) for t, _ in tables]
+        own = np.min([a + np.bincount(row[high], weights=t[flat[high]], minlength=len(texts)) for a, (t, _) in zip(plain, tables, strict=True)], axis=0)
+        limit = own - GAIN * n
+        may = np.zeros((len(texts), len(of.legacy)), bool)
+        used = np.flatnonzero(h.any(axis=0))
+        for a, (_, by_chain) in zip(plain, tables, strict=True):
+            rows = np.flatnonzero(limit > a)  # elsewhere the ASCII characters alone take more in this script
+            may[rows] |= h[np.ix_(rows, used)] @ by_chain[used] <= (limit - a)[rows, None]
+        out: list[list] = [[] for _ in texts]
+        for i in np.flatnonzero(may.any(axis=1)).tolist():
+            which, own_chars = np.flatnonzero(may[i]), np.flatnonzero(h[i])
+            with np.errstate(over="ignore"):
+                same = (of.targets[own_chars][:, which].astype(np.uint64) * mix(own_chars.astype(np.uint64))[:, None]).sum(axis=0)
+            code = flat[start[i] : end[i]]
+            place = of.place[code]
+            inside = place < k - 1
+            for m in sorted(which[np.unique(same, return_index=True)[1]].tolist()):  # of chains that do the same to this text the shortest
+                turned = code.copy()
+                turned[inside] = of.targets[place[inside], m]
+                if not np.array_equal(turned, code):
+                    out[i].append((turned.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), of.legacy[m][0], True))
+        rows = np.flatnonzero(runs)
+        follow = h[np.ix_(rows, used)] @ of.follows[used]
+        may = (follow >= 1) & (np.abs(follow - h[np.ix_(rows, used)] @ of.needs[used]) <= 0.5 * follow + 3 * lost[rows, None])
+        which = [(i, m) for i, own_maps in zip(rows.tolist(), may, strict=True) if own_maps.any() for m in of.read_as_unicode(flat[start[i] : end[i]], np.flatnonzero(own_maps))]
+        for i, m in which:
+            steps, text = of.unicode[m][0], texts[i]
+            for pair in steps:
+                text = step(text, *pair) if text is not None else None
+            if text is not None:
+                whole = text.count(LOST) <= lost[i]
+                # what is lost counts as two unseen characters, so that losing doesn't pay
+                fits = self.nats_of(text) + 2 * UNSEEN * max(0, text.count(LOST) - int(lost[i])) <= limit[i]
+                if (fits and (whole or len(steps) == 1)) or whole:
+                    out[i].append((text, steps, fits))
+        for i in np.flatnonzero((h[:, -1] > 0) | runs).tolist():
+            for pair in STEPS:
+                if pair[0] in _WIDE or pair[1] in _WIDE and pair[1] != "utf-8" and runs[i] and h[i, -1] == 0:
+                    text = step(texts[i], *pair)
+                    if text is not None:
+                        fits = self.nats_of(text) + UNSEEN * max(0, text.count(LOST) - int(lost[i])) <= limit[i]
+                        if fits or pair[1] == "utf-8" and text.count(LOST) <= lost[i]:
+                            out[i].append((text, (pair,), fits))
+        return out
+
+    def explained(self, paragraphs: list[str]) -> list[bool]:
+        """Does a chain give each paragraph clearly more usual characters? Such don't show what a language is like."""
+        return [any(fits for _, _, fits in found) for found in self.candidates(paragraphs)]
+
+    def restore(self, paragraphs: list[str], langs: list[str]) -> list[tuple[str, str]]:
+        """(text, chain) of each; the chain is empty where the paragraph stays."""
+        best = [(p, "") for p in paragraphs]
+        least: list = [None] * len(paragraphs)
+        seen: list[set] = [{p} for p in paragraphs]
+        layer = [(i, p, ()) for i, p in enumerate(paragraphs)]
+        while layer:
             after = []
-            for text, steps, spent in layer:
-                odd, runs = _odd(text), " ".join(_RUN.findall(text))
-                for read_as, written_in in STEPS:
-                    out = step(text, read_as, written_in) if self.possible(odd, runs, read_as, written_in, limit, within) else None
-                    if out is None or out in seen:
-                        continue
-                    seen.add(out)
-                    name = f"{steps}, {written_in} read as {read_as}".lstrip(", ")
-                    paid = spent + cost(read_as, written_in)
-                    if not deep and not self.plausible(out, read_as, written_in):
+            for (i, _, before), found in zip(layer, self.candidates([t for _, t, _ in layer]), strict=True):
+                for text, more, fits in found:
+                    steps = before + more
+                    if text in seen[i] or len(steps) > MOST_STEPS:
                         continue
-                    if depth > 1 and paid and out.count(LOST) > paragraph.count(LOST):
+                    seen[i].add(text)
+                    if more[-1][1] in _WIDE or more[-1][0] in _WIDE:  # legacy chains are complete as they are
+                        after.append((i, text, steps))
+                    paid = sum(cost(*pair) for pair in steps)
+                    if not fits or (len(steps) > 1 and paid and text.count(LOST) > paragraphs[i].count(LOST)):
                         continue  # a chain with legacy encodings that loses characters explains nothing
-                    n = self.length(out, lang) + paid
-                    if n < least:
-                        best, least, chain = out, n, name
-                    if (written_in == "utf-8" or deep) and any(c > "\x7f" for c in out):
-                        after.append((out, name, paid))
-            layer = after
-            if not layer:
-                break
-        return best, chain
+                    if least[i] is None:
+                        least[i] = self.length(paragraphs[i], langs[i]) - LEAST_SAVED
+                    n = self.length(text, langs[i]) + paid
+                    if n < least[i]:
+                        least[i] = n
+                        best[i] = text, ", ".join(f"{w} read as {r}" for r, w in steps)
+            layer = [x for x in after if len(x[2]) < MOST_STEPS]
+        return best
 
 
 def _lang(column: str = "lang"):
     return F.coalesce(F.lower(F.trim(column)), F.lit("und"))
 
 
-def _usual_counts(b: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
-    """(lang, char, documents); an empty char counts the documents."""
-    count: dict = {}
-    for t, lang in zip(strings(b.column("text")), strings(b.column("lang")), strict=True):
-        count[lang, ""] = count.get((lang, ""), 0) + 1
-        if t and not t.isascii():
-            for c in set(t):
-                if c > "\x7f":
-                    count[lang, c] = count.get((lang, c), 0) + 1
-    langs, chars = zip(*count, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(chars), pa.array(list(count.values()), pa.int64())], schema=schema)
+def _counts(b: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """(lang, char, n): how often each character stands in a language; an empty char counts all of them, a null the documents."""
+    texts, langs = strings(b.column("text")), np.array(strings(b.column("lang")), dtype=object)
+    out: list[tuple] = []
+    for lang in sorted(set(langs)):
+        own = [texts[i] for i in np.flatnonzero(langs == lang)]
+        flat, _, _ = codes(own)
+        code, n = np.unique(flat[flat > 0], return_counts=True)
+        out += [(lang, "", len(flat)), (lang, None, len(own))] + [(lang, chr(c), k) for c, k in zip(code.tolist(), n.tolist(), strict=True) if not 0xD800 <= c < 0xE000]
+    return batch(schema, *zip(*out, strict=True))
 
 
-def judge(documents: DataFrame) -> Judge:
+def _sample(shares: dict[str, float]):
+    def run(b: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+        import xxhash
+
+        rows = []
+        for lang, t in zip(strings(b.column("lang")), strings(b.column("text")), strict=True):
+            most = int(shares.get(lang, 0) * 2**64)
+            if most:
+                rows += [(lang, p) for p in t.split("\n") if p and xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) < most]
+        return batch(schema, *zip(*rows, strict=True)) if rows else None
+
+    return run
+
+
+def judge(documents: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Judge:
+    """Fitted on `documents`: character counts over all texts, dictionaries on paragraphs of about `sample_chars` characters a
+    language, drawn by hash from all over the texts."""
     import zstandard
 
-    texts = documents.select("doc_id", "text", _lang().alias("lang")).filter("text is not null")
-    counts = map_arrow(texts.select("text", "lang"), _usual_counts, "lang string, char string, n bigint").groupBy("lang", "char").agg(F.sum("n").alias("n"))
-    total = counts.filter("char = ''").select("lang", F.col("n").alias("total")).filter((F.col("total") >= LEAST_DOCUMENTS) & (F.col("lang") != "und"))
-    rows = counts.join(F.broadcast(total), "lang").filter(F.col("n") >= F.col("total") * SEEN).collect()  # at most characters a document / SEEN for each language
-    usual: dict[str, set] = {}
-    shares: dict[str, dict] = {}
-    sizes = {}
-    for r in rows:
-        if r["n"] >= r["total"] * USUAL:
-            usual.setdefault(r["lang"], set()).add(r["char"])
-        shares.setdefault(r["lang"], {})[r["char"]] = r["n"] / r["total"]
-        sizes[r["lang"]] = r["total"]
-    if not sizes:
-        return Judge({}, {}, {})
-    wanted = F.lit(False)
-    for lang, n in sizes.items():
-        wanted = wanted | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE))) == 0))
-    found = Judge({k: frozenset(v) for k, v in usual.items()}, {}, shares)
-    samples: dict[str, list[bytes]] = {}
-    for r in texts.filter(wanted).select("lang", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).collect():
-        for p in r["text"].split("\n"):
-            if p and (p.isascii() or _odd(p) <= found.usual.get(r["lang"], set()) and not found.explained(p, r["lang"])):
-                samples.setdefault(r["lang"], []).append(even(p))
-    for lang, s in samples.items():
+    texts = documents.select("text", _lang().alias("lang")).filter("text is not null")
+    counts = cut_lineage(map_arrow(texts, _counts, "lang string, char string, n bigint").groupBy("lang", "char").agg(F.sum("n").alias("n")))
+    known = counts.filter((F.col("lang") != "und") & F.col("char").isNull() & (F.col("n") >= LEAST_DOCUMENTS)).select("lang")
+    totals = counts.join(known, "lang", "left_semi").filter("char = ''").select("lang", F.col("n").alias("total"))
+    each = counts.filter("char <> ''").join(F.broadcast(totals), "lang").filter(F.col("n") >= F.col("total") * SEEN)
+    nats: dict[str, dict[str, float]] = {}
+    by_lang: dict[str, dict[str, float]] = {}
+    for r in each.select("lang", "char", (-F.log(F.col("n") / F.col("total"))).alias("nats")).collect():  # at most all of Unicode for each language
+        by_lang.setdefault(r["lang"], {})[r["char"]] = r["nats"]
+    for own in by_lang.values():  # a language belongs to the script of most of its letters; a script has its languages' shortest codes
+        weight: dict[str, float] = {}
+        for c, x in own.items():
+            weight[script_of(c)] = weight.get(script_of(c), 0.0) + float(np.exp(-x))
+        weight.pop("", None)
+        of_script = nats.setdefault(max(weight, key=weight.get) if weight else "", {})
+        for c, x in own.items():
+            of_script[c] = min(x, of_script.get(c, UNSEEN))
+    sizes = {r["lang"]: r["total"] for r in totals.collect()}
+    found = Judge({}, nats)
+    samples: dict[str, list[str]] = {}
+    for r in map_arrow(texts, _sample({k: min(0.9999, sample_chars / n) for k, n in sizes.items()}), "lang string, text string").collect():
+        samples.setdefault(r["lang"], []).append(r["text"])
+    for lang, every in sorted(samples.items()):
+        every = sorted(set(every))
+        s = [even(p) for p, bad in zip(every, found.explained(every), strict=True) if not bad and LOST not in p]
         try:
             found.dictionaries[lang] = zstandard.train_dictionary(DICTIONARY_BYTES, s, level=3).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: the samples themselves serve
-            found.dictionaries[lang] = b"".join(s)[-DICTIONARY_BYTES:]
+            if s:
+                found.dictionaries[lang] = b"".join(s)[-DICTIONARY_BYTES:]
     return found
 
 
@@ -330,23 +422,32 @@ def restored(documents: DataFrame) -> DataFrame:
     """documents(doc_id, text, lang) -> (doc_id, text, chains, lost) of the documents with a wrongly decoded paragraph."""
     sent = documents.sparkSession.sparkContext.broadcast(judge(documents))  # a few dictionaries of DICTIONARY_BYTES
 
-    def run(b: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
-        rows, texts, chains, lost = [], [], [], []
-        for i, (t, lang) in enumerate(zip(strings(b.column("text")), strings(b.column("lang")), strict=True)):
-            if not t or t.isascii():
-                continue
-            parts, names = t.split("\n"), set()
-            for k, p in enumerate(parts):
-                if not p.isascii():
-                    parts[k], chain = sent.value.restore(p, lang)
-                    if chain:
-                        names.add(chain)
-            if names or LOST in t:
-                rows.append(i)
-                texts.append("\n".join(parts))
-                chains.append(sorted(names))
-                lost.append(LOST in texts[-1])
-        return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(texts, pa.string()), pa.array(chains, schema.field(2).type), pa.array(lost, pa.bool_())], schema=schema)
+    def run(whole: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+        ids, texts, chains_, lost = [], [], [], []
+        for b in slices(whole, "text", 400_000):
+            doc_ids, every, langs = b.column("doc_id").to_pylist(), strings(b.column("text")), strings(b.column("lang"))
+            where, paragraphs, of = [], [], []
+            parts = {}
+            for i, t in enumerate(every):
+                if t and not t.isascii():
+                    parts[i] = t.split("\n")
+                    for k, p in enumerate(parts[i]):
+                        if not p.isascii():
+                            where.append((i, k))
+                            paragraphs.append(p)
+                            of.append(langs[i])
+            names: dict[int, set] = {}
+            for (i, k), (text, chain) in zip(where, sent.value.restore(paragraphs, of) if paragraphs else [], strict=True):
+                if chain:
+                    parts[i][k] = text
+                    names.setdefault(i, set()).add(chain)
+            for i in parts:
+                if i in names or LOST in every[i]:
+                    ids.append(doc_ids[i])
+                    texts.append("\n".join(parts[i]))
+                    chains_.append(sorted(names.get(i, ())))
+                    lost.append(LOST in texts[-1])
+        return batch(schema, ids, texts, chains_, lost)
 
     ddl = "doc_id bigint, text string, chains array<string>, lost boolean"
     return map_arrow(documents.select("doc_id", "text", _lang().alias("lang")), run, ddl)

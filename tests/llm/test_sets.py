@@ -149,14 +149,14 @@ CHINESE = "没有人能解释为什么下层书架比压力表多用了很久，
 def test_round_trips(judge, text, read_as, written_in):
     garbled = text.encode(written_in).decode(read_as)
     lang = {FRENCH[:3]: "fr", RUSSIAN[:3]: "ru", CHINESE[:3]: "zh"}[text[:3]]
-    assert judge.suspicious(garbled, lang) and judge.restore(garbled, lang)[0] == text
+    assert judge.restore([garbled], [lang])[0][0] == text
     twice = text.encode("utf-8").decode("latin-1").encode("utf-8").decode("latin-1")
-    assert judge.restore(twice, lang)[0] == text
+    assert judge.restore([twice], [lang])[0][0] == text
 
 
 @pytest.mark.parametrize("text", ["naïve œuvre", "√2 · 797", "SÃO PAULO", "L’ÂGE DES RELIURES", "½ § 310", "¿397?", "30 °C ± 7 µm", "ÉTÉ À PARIS", FRENCH, RUSSIAN, CHINESE])
 def test_right_texts_stay(judge, text):
-    assert judge.restore(text, "fr") == (text, "")
+    assert judge.restore([text], ["fr"]) == [(text, "")]
 
 
 @pytest.fixture(scope="module")
@@ -189,8 +189,24 @@ def test_a_source_that_garbles_a_third_of_a_language(spark, read_as, written_in)
     assert got == {i: t for i, t in enumerate(right) if i % 3 == 0}
 
 
-def test_every_run_may_be_utf8():
-    assert E.may_be_utf8("\u00bd of the r\u00c3\u00a9gion") and not E.may_be_utf8("d\u00e9j\u00e0 \u00e9t\u00e9")
+def test_a_paragraph_garbled_in_part(judge):
+    text = FRENCH + " \u00bd " + FRENCH.encode().decode("latin-1")
+    assert judge.candidates([text])[0] == [] or all(t.count("\ufffd") <= 2 for t, _, _ in judge.candidates([text])[0])
+
+
+@pytest.mark.parametrize("read_as", ["cp1251", "koi8_r", "cp866", "mac_roman", "latin-1", "cp437"])
+@pytest.mark.parametrize("written_in", ["cp1251", "koi8_r", "cp866"])
+def test_every_word_of_another_alphabet(judge, read_as, written_in):
+    if read_as == written_in or (read_as, written_in) in [("cp437", "koi8_r"), ("cp437", "cp866"), ("mac_roman", "koi8_r"), ("mac_roman", "cp866")]:
+        return  # not among the pairs
+    words = RUSSIAN.replace(",", "").replace(".", "").split()
+    for k in range(0, len(words) - 4, 3):
+        text = " ".join(words[k : k + 5])
+        try:
+            garbled = text.encode(written_in).decode(read_as)
+        except UnicodeError:
+            continue
+        assert judge.restore([garbled], ["ru"])[0][0] == text
 
 
 @pytest.mark.parametrize(("first", "second"), [(("latin-1", "cp1251"), ("latin-1", "utf-8")), (("latin-1", "cp1251"), ("cp1251", "utf-8")), (("koi8_r", "cp1251"), ("latin-1", "utf-8")), (("latin-1", "cp1251"), ("mac_roman", "latin-1"))])
@@ -198,7 +214,7 @@ def test_chains_of_unlike_steps(judge, first, second):
     text = RUSSIAN
     for read_as, written_in in (first, second):
         text = text.encode(written_in).decode(read_as)
-    assert judge.restore(text, "ru")[0] == RUSSIAN
+    assert judge.restore([text], ["ru"])[0][0] == RUSSIAN
 
 
 def test_lost_characters_stay_lost(judge):
