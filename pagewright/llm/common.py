@@ -120,3 +120,12 @@ def frequent_words(df: DataFrame, column: str, share: float, also: str = ""):
     keys = rows.column("key").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], rows.column("n").to_numpy()[order].astype(np.int64)
+
+
+def prefilter(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of `df` whose `column` is in `ids(column)`, and a few others: a bitmap of 2**24 hashed ids, sent out as at most
+    2**18 words whatever the number of ids, so it saves less the more there are, but never more is sent. An exact join follows."""
+    parts = ["shiftrightunsigned(xxhash64({0}), 46) as _word", "shiftleft(1L, cast(xxhash64({0}) & 63 as int)) as _bit"]
+    bitmap = ids.selectExpr(*(x.format(column) for x in parts)).groupBy("_word").agg(F.bit_or("_bit").alias("_mask"))
+    there = df.selectExpr("*", *(x.format(column) for x in parts)).join(F.broadcast(bitmap), "_word")
+    return there.filter(F.col("_mask").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_mask")

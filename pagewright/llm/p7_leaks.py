@@ -17,13 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, cut_lineage, map_arrow, slices, strings, table
+from .common import batch, cut_lineage, map_arrow, prefilter, slices, strings, table
 from .vec import Words, signed
 
 GRAM = 6
 RUN = 12
-#: Up to this many ids of meeting documents (8 bytes each) are sent to all executors to fetch the texts; beyond, a shuffle does it.
-BROADCAST_IDS = 400_000
 
 
 def _winnow(gram: int, window: int):
@@ -85,7 +83,7 @@ def leaks(items: DataFrame, documents: DataFrame, gram: int = GRAM, run: int = R
     documents = documents.select(F.col("doc_id").alias("id"), "text").filter("text is not null and id is not null")
     met = fingerprints(documents, gram, run).join(fingerprints(items, gram, run).select("print").distinct(), "print", "left_semi")
     met = cut_lineage(met.select("id").distinct())
-    near = documents.join(F.broadcast(met) if met.count() <= BROADCAST_IDS else met, "id", "left_semi")
+    near = prefilter(documents, "id", met)  # documents that come with them have no run of an item
     there = all_runs(near, run).withColumnsRenamed({"id": "doc_id", "place": "doc_place"})
     return there.join(all_runs(items, run).withColumnsRenamed({"id": "item_id", "place": "item_place"}), "print").select("item_id", "doc_id", "item_place", "doc_place")
 
