@@ -1,9 +1,13 @@
 """Problem 2: template residue, filler text, error pages and notices that scripts or cookies are needed.
 
-Method: numbers, addresses and dates of each sentence are masked; equal masked sentences are grouped by an exact hash over
-all sources (books) and counted by distinct source; phrase and placeholder rules classify them. A message that stands alone
-on its line is taken as the rules say; one inside running prose only if the same masked sentence recurs in several sources,
-because prose that talks about such things names its own places and people and so doesn't recur.
+Method: every text is split into units (sentences, and lines and texts of two or three of them); of each, markup, a label in
+front, numbers, addresses and dates are masked, and what is left is hashed. The hashes of all units of all texts are grouped
+over all sources (books), repeats within a source first, and counted by distinct source. Units that recur in MIN_SOURCES
+sources or more are classified by phrase rules: rule "recurring". A unit that recurs in fewer is none, wherever it stands:
+prose that talks about such things names its own places and people and so doesn't recur.
+
+Rule "placeholder" needs no recurrence, as its marks have no other use: unfilled fields, filler of pseudo-Latin words, keyboard
+runs. Both rules look at whole texts.
 
 Nulls and empty texts are no cases; a record that comes twice is one row; columns beside those named below are ignored.
 """
@@ -14,22 +18,23 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch, cut_lineage, map_arrow, nested_blocks, strings, table
 
-#: A sentence within prose counts if it recurs in this many sources.
-MIN_SOURCES = 2
+#: A message counts if it recurs in this many sources.
+MIN_SOURCES = 3
 #: Types and labels whose text is code, formula or table.
 NOT_PROSE = ["table", "formula", "formula_number", "algorithm", "code", "equation", "image", "chart"]
 
 # Markup of template fields.
 FIELD = re.compile(
     r"\{\{[^{}\n]{1,60}\}\}|\{%[^{}\n]{1,60}%\}|<%[^<>\n]{1,60}%>|[$#]\{\s*[^\W\d]\w*(?:[.\s]\w+)*\s*\}"
-    r"|(?<![\\\w^_}$#{])\{\s*[^\W\d]\w*(?:[ .]\w+){0,3}\s*\}(?!\})|(?<![\w%])%[^\W\d]\w{1,40}%(?![\w%])"
-    r"|(?<!\w)__[^\W\d_](?:\w*[^\W_])?__(?!\w)|\[\[\s*[^\W\d]\w*(?:[ .]\w+)*\s*\]\]|<<\s*[^\W\d]\w*(?:[ .]\w+)*\s*>>"
-    r"|\*\|\s*[^\W\d]\w*\s*\|\*|@@[^\W\d]\w*@@|(?<!\w)@Model\.\w+|«\s*(?:[a-z]+_\w+|[a-z]+[A-Z]\w*|[A-Z][A-Z_]{2,}|[a-z]+|[A-Z][a-z]+)\s*»(?=.{0,3000}$)"
+    r"|(?<![\\A-Za-z0-9^_}$#{])\{\s*[^\W\d]\w*(?:[ .]\w+){0,3}\s*\}(?!\})|(?<![\d%])%[^\W\d]\w{2,40}%(?![\d%])"
+    r"|(?<![A-Za-z0-9_])__[^\W\d_][^\W_]*(?:_[^\W_]+)*__(?!_)|\[\[\s*[^\W\d]\w*(?:[ .]\w+)*\s*\]\]|<<\s*[^\W\d]\w*(?:[ .]\w+)*\s*>>"
+    r"|\*\|\s*[^\W\d]\w*\s*\|\*|@@[^\W\d]\w*@@|(?<![A-Za-z0-9])@Model\.\w+|«\s*(?:[a-z]+_\w+|[a-z]+[A-Z]\w*|[A-Z][A-Z_]{2,}|[a-z]+|[A-Z][a-z]+)\s*»"
     r"|\[\s*(?i:insert|enter|your|add|put)\b[^\]\n]{1,60}\]|\[[^\[\]\n]{1,60}\s(?i:tbd|tba|todo|here)\s*\]|<\s*(?i:enter|insert|your|add)\s[^<>\n]{1,60}>",
     re.S,
 )
@@ -54,22 +59,46 @@ LOREM = frozenset(
 LOREM_MARKS = ["lorem", "ipsum", "eiusmod", "nostrud", "ullamco", "cillum", "fugiat", "aliqua", "veniam", "pariatur"]
 KEYBOARD = re.compile(r"(?:(?<!\w)([xX])\1{3,}(?!\w)\W*){2,}|(?:(?<!\w)(?:asdf|qwer|jkl|zxcv|hjkl)(?!\w)\W*){2,}", re.I)
 
-_MASKS = [
-    (re.compile(r"\b\d{1,4}[-./]\d{1,2}[-./]\d{1,4}\b"), "<date>"),
-    (re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+|(?<!\w)/[\w./-]+"), "<address>"),
-    (re.compile(r"\d+"), "<n>"),
-]
+_TAGS = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
+_LABEL = re.compile(r"^\s*[^\W\d_]{2,12}\s?[:：]\s", re.M)
+_ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+|(?<!\w)/[\w./-]+")
+_NUMBER = re.compile(r"\d+(?:[-./:,]\d+)*")  # dates as well
+_REST = re.compile(r"[^\w@]+|_+")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s*(?=\S)")
 _LINES = re.compile(r"\n+")
 _WORD = re.compile(r"[^\W\d_]+")
-
-
-def mask(sentence: str) -> str:
-    """A message's normal form: lower case, dates, addresses and numbers masked, only word characters and masks kept."""
-    s = sentence.lower()
-    for pattern, name in _MASKS:
-        s = pattern.sub(name, s)
-    return " ".join(re.findall(r"<\w+>|[^\W\d_]+", s))
+#: A message has no more sentences than this.
+SENTENCES = 3
+
+
+def masked(text: str) -> str:
+    """A text in lower case without markup and labels, its addresses, dates and numbers masked."""
+    if "<" in text:
+        text = _TAGS.sub(" ", text)
+    if ":" in text or "：" in text:
+        text = _LABEL.sub("", text)
+    if "/" in text or "@" in text or "www." in text:
+        text = _ADDRESS.sub(" @ ", text)
+    return _NUMBER.sub("0", text).lower()
+
+
+def normal(unit: str) -> str:
+    """What makes two masked units the same: their words and masks."""
+    return _REST.sub(" ", unit).strip()
+
+
+def units(text: str) -> list[str]:
+    """The units of a masked text: sentences, lines of several, and the text if it is a few lines."""
+    out, lines, n = [], [x for x in _LINES.split(text) if x.strip()], 0
+    for line in lines:
+        parts = _SENTENCE.split(line)
+        n += len(parts)
+        out += parts
+        if 1 < len(parts) <= SENTENCES:
+            out.append(line)
+    if 1 < len(lines) and n <= SENTENCES:
+        out.append(text)
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -102,40 +131,65 @@ def is_lorem(text: str) -> bool:
     return len(words) >= 5 and sum(w in LOREM for w in words) >= 0.6 * len(words)
 
 
-def messages(text: str) -> list[tuple[str, bool]]:
-    """The masked messages of a text, and whether each is certain without recurring (it stands on a line of its own, is a
-    field or filler text)."""
-    found = families(text.lower())
-    out: list[tuple[str, bool]] = []
+def placeholders(text: str, found: set[str]) -> list[str]:
+    """The marks of rule "placeholder" in a text with the anchors `found`."""
+    out = []
     if "field" in found and any(not m.group().startswith("«") or QUOTED.match(m.group()) for m in FIELD.finditer(text)):
-        out.append(("<field>", True))
+        out.append("<field>")
     if "lorem" in found and any(is_lorem(p) for p in _LINES.split(text)):
-        out.append(("<lorem>", True))
+        out.append("<lorem>")
     if "keys" in found and KEYBOARD.search(text):
-        out.append(("<keys>", True))
+        out.append("<keys>")
+    return out
+
+
+def messages(text: str) -> list[tuple[str, bool]]:
+    """(message, is it a placeholder?) of a text: what is a case at once, and what is one if it recurs."""
+    found = families(text.lower())
+    out = [(m, True) for m in placeholders(text, found)] if found else []
     if any(rule <= found for rule in RULES):
-        for line in _LINES.split(text):
-            if any(rule <= families(line.lower()) for rule in RULES):
-                parts = _SENTENCE.split(line)
-                whole = len(line) <= 160 and len(parts) <= 3
-                for s in parts if not whole else [line]:
-                    if any(rule <= families(s.lower()) for rule in RULES):
-                        out.append((mask(s), whole))
+        out += [(normal(u), False) for u in units(masked(text)) if any(rule <= families(u) for rule in RULES)]
     return out
 
 
-def _scan(b: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+def _scan(whole: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
     rows: list[int] = []
-    hashes: list[str] = []
+    found: list[str] = []
     sure: list[bool] = []
-    for i, text in enumerate(strings(b.column("content"))):
+    for i, text in enumerate(strings(whole.column("content"))):
         if text:
-            for m, certain in messages(text):
+            for m, placeholder in messages(text):
                 rows.append(i)
-                hashes.append(m)
-                sure.append(certain)
-    take = b.take(pa.array(rows, type=pa.int64()))
-    return batch(schema, take.column("record_kind"), take.column("record_id"), take.column("block_pos"), take.column("source"), hashes, sure)
+                found.append(m)
+                sure.append(placeholder)
+    take = whole.take(pa.array(rows, type=pa.int64()))
+    return batch(schema, take.column("record_kind"), take.column("record_id"), take.column("block_pos"), take.column("source"), found, [hashed(m) for m in found], sure)
+
+
+def hashed(message: str) -> int:
+    return xxhash.xxh64_intdigest(message.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def recurring(texts: DataFrame, min_sources: int = MIN_SOURCES, held: int = 1_000_000) -> DataFrame:
+    """texts(source, content) -> (message_id, sources) of the units that recur in so many sources. Repeats within a source are
+    taken out in the partition, so a unit that stands in a third of all texts comes to the shuffle once a partition and source."""
+    schema = pa.schema([("message_id", pa.int64()), ("source", pa.int64())])
+
+    def run(batches):
+        seen: set[tuple[int, int]] = set()
+        for b in batches:
+            for text, source in zip(strings(b.column("content")), b.column("source").to_pylist(), strict=True):
+                if text:
+                    seen.update([(hashed(n), source) for u in units(masked(text)) if (n := normal(u))])
+                if len(seen) >= held:
+                    yield batch(schema, *zip(*seen, strict=True))
+                    seen = set()
+        if seen:
+            yield batch(schema, *zip(*seen, strict=True))
+
+    pairs = texts.select(F.xxhash64("source").alias("source"), "content").mapInArrow(run, "message_id bigint, source bigint")
+    spread = pairs.repartition("message_id").groupBy("message_id").agg(F.countDistinct("source").alias("sources"))
+    return spread.filter(F.col("sources") >= min_sources)
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,16 +202,17 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CANDIDATE = "record_kind string, record_id bigint, block_pos int, source string, message string, message_id bigint, placeholder boolean"
+
+
 def residue(texts: DataFrame, min_sources: int = MIN_SOURCES) -> DataFrame:
-    """texts(record_kind, record_id, block_pos, source, content) -> the records that hold residue, with the message that
-    tells so. Certain messages, the many, don't take part in the join that asks how widely the others recur."""
+    """texts(record_kind, record_id, block_pos, source, content) -> (record_kind, record_id, block_pos, source, message, rule) of
+    the records that hold residue."""
     texts = texts.select("record_kind", "record_id", "block_pos", "source", "content")
-    found = map_arrow(texts, _scan, "record_kind string, record_id bigint, block_pos int, source string, message string, certain boolean")
-    found = cut_lineage(found.withColumn("message_id", F.xxhash64("message")))
-    doubtful = found.filter(~F.col("certain")).select("message_id").distinct()
-    spread = found.join(doubtful, "message_id", "left_semi").groupBy("message_id").agg(F.countDistinct("source").alias("sources"))
-    wide = spread.filter(F.col("sources") >= min_sources).select("message_id")
-    return found.filter("certain").unionByName(found.filter(~F.col("certain")).join(wide, "message_id", "left_semi")).drop("message_id", "certain")
+    found = cut_lineage(map_arrow(texts, _scan, CANDIDATE))
+    wide = recurring(texts, min_sources).select("message_id")
+    recur = found.filter(~F.col("placeholder")).join(wide, "message_id", "left_semi").withColumn("rule", F.lit("recurring"))
+    return found.filter("placeholder").withColumn("rule", F.lit("placeholder")).unionByName(recur).drop("message_id", "placeholder")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,8 +220,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The residue's messages, with records and sources."""
-    return residue(texts(spark, sf_dir)).groupBy("message").agg(F.countDistinct("record_kind", "record_id", "block_pos").alias("records"), F.countDistinct("source").alias("sources"))
+    """The residue's messages and the rule that takes them, with records and sources."""
+    each = residue(texts(spark, sf_dir)).groupBy("rule", "message")
+    return each.agg(F.countDistinct("record_kind", "record_id", "block_pos").alias("records"), F.countDistinct("source").alias("sources"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_messages": p2_messages}

@@ -23,17 +23,25 @@ def prose(rng, n):
 def test_residue_rules():
     found = ["Dear {{ first_name }}, hello", "see <%= unit %> there", "%title%", "__issueNo__", "Hi [Your name]", "[INSERT DATE HERE]", "*|FNAME|*", "the @Model.Date is", "«author_name» wrote", "HTTP 503 Service Unavailable", "Please enable JavaScript to go on.", "404 - page not found", "Lorem ipsum dolor sit amet consectetur", "asdf asdf qwer", "xxxxx xxxx xxxxx", "ПОЖАЛУЙСТА, ВКЛЮЧИТЕ JAVASCRIPT."]
     fine = ["", "Section 4 describes how JavaScript draws a page.", "He paid 100% of 5% tax", "a set {1, 2}", "x_{i} and \\frac{a}{b}", "«Лоток» стоит", "error 404 explained in the help page", "The server was polite.", "array[i] = [3]", "a < b and c > d", "snake_case_name"]
+    found += ["第%unit%页", "见__QUANTITY__Kelora", "管道{chapter_title}之后", "«author_name» wrote " + "and then some more. " * 500]
     assert [t for t in found if not R.messages(t)] == [] and [t for t in fine if any(sure for _, sure in R.messages(t))] == []
-    assert R.mask("Error 404: /doc/17 on 2020-01-02") == R.mask("ERROR 500: /x/9 on 2021-11-12")
+    same = ["Error 404: /doc/17 on 2020-01-02", "ERROR 500: /x/9 on 2021-11-12", "<p>Error 7: /doc/1 on 3.4.2020</p>"]
+    assert len({R.normal(R.masked(t)) for t in same}) == 1
+    assert R.normal(R.masked("Notice: Page not found")) == R.normal(R.masked("page NOT found."))
     assert R.messages("word " * 100_000) == []
 
 
-def test_residue_within_prose_must_recur(spark):
+def test_messages_must_recur_over_sources(spark):
     row = lambda i, source, text: ("block", i, 0, source, text)
     said = "It was a long day and a long walk, with much to see on the way. The page was not found. " + "Then they went on and on, over hills and far away, as people do who have the time. " * 2
-    rows = [row(1, "a", said), row(2, "b", said.replace("a long day", "one day")), row(3, "c", said.replace("The page was not found", "The page on Berlin was not found")), row(4, "a", None), row(5, "a", ""), row(6, "a", "Page not found"), row(6, "a", "Page not found")]
+    rows = [row(1, "a", said), row(2, "b", said.replace("a long day", "one day")), row(3, "c", said.replace("The page was not found", "The page on Berlin was not found")), row(4, "a", None), row(5, "a", ""), row(6, "c", "Notice: The page was not found"), row(6, "c", "Notice: The page was not found")]
+    rows += [row(10 + i, f"s{i}", f"Please enable JavaScript to read chapter {i}.") for i in range(5)]  # alone on its line, in many sources
+    rows += [row(20 + i, "a", "Please enable JavaScript to print the map.") for i in range(5)]  # its twin, alone on its line as well, in one
+    rows += [row(30, "a", "Dear {{ name }},"), row(31, "b", "Lorem ipsum dolor sit amet consectetur")]  # placeholders, in one each
+    rows += [row(40 + i, f"s{i}", "JavaScript is disabled.\nEnable it and reload the page.") for i in range(3)]
     df = spark.createDataFrame(rows, "record_kind string, record_id bigint, block_pos int, source string, content string").withColumn("message", F.lit("clash"))
-    assert {r["record_id"] for r in R.residue(df).collect()} == {1, 2, 6}
+    got = {(r["record_id"], r["rule"]) for r in R.residue(df).collect()}
+    assert got == {(i, "recurring") for i in (1, 2, 6, 10, 11, 12, 13, 14, 40, 41, 42)} | {(30, "placeholder"), (31, "placeholder")}
 
 
 # -- 3 ------------------------------------------------------------------------------------------------------------------
