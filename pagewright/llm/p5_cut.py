@@ -13,7 +13,6 @@ Redelivered blocks give one row; they weigh in the counts as they come.
 
 from __future__ import annotations
 
-import math
 import re
 from functools import lru_cache
 
@@ -27,11 +26,15 @@ from .vec import _BASE, _BASE_INV, _powers, codes, letter_table, mix, signed
 
 ORDERS = (3, 5, 8, 12, 16, 24)
 MIN_ENDS = 3
+#: How many masked characters of a next page's start are looked at, the first characters that hold them, and what ends a sentence.
+HEADS = (4, 8, 12, 20)
+HEAD = 400
+_STOPS = np.array([ord(c) for c in ".。!?！？…"], np.uint32)
+_BLANK = np.array([ord(c) for c in " \"'’”»)]）」』«“„(["], np.uint32)
 #: A last line that ends texts on this many pages of a book, or is its header, footer or page number, is complete.
 MIN_PAGES = 3
-#: Contexts that make up less than this share of all final contexts aren't tracked, so at most 1/share are held.
-MIN_SHARE = 2e-6
-TAIL = 240
+#: So many final contexts (8 bytes each) are sent out at once; if more recur, the texts are counted in several passes.
+CONTEXTS = 2_000_000
 
 # What a text that was cut may carry after the cut, and what ends a sentence.
 MARK = re.compile(r"\s*(?:\[cut\]|\[\s*(?:\.\.\.|…)\s*\]|\(?(?:truncated|gekürzt|tronqué)\)?|…|\.\.\.|<|�+|✂)\s*$", re.I)
@@ -72,7 +75,10 @@ def masked(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def context_hashes(flat: np.ndarray, at: np.ndarray, order: int, sums: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Hash of the `order` characters that end at each place `at` (fewer, with the mark of the start, in a shorter text)."""
-    first = np.maximum(at - order + 1, begin)
+    return _range_hashes(flat, np.maximum(at - order + 1, begin), at, order, sums)
+
+
+def _range_hashes(flat: np.ndarray, first: np.ndarray, at: np.ndarray, order: int, sums: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         raw = (sums[at + 1] - sums[first]) * _powers(_BASE_INV, len(flat) + 1)[first]
         return mix(raw + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(order))
@@ -84,18 +90,22 @@ def _sums(flat: np.ndarray) -> np.ndarray:
 
 
 def _tails(b: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
-    """Rows that don't end with a full stop, with the hashes of their final contexts and whether a cut's mark follows."""
-    from .p2_residue import messages
+    """Rows that don't end with a full stop and hold no placeholder, with the hashes of their final contexts, whether a cut's
+    mark follows, and the messages in them."""
+    from .p2_residue import hashed, messages
 
-    rows, texts, marks = [], [], []
-    for i, t in enumerate(strings(b.column("tail"))):
+    rows, texts, marks, said = [], [], [], []
+    for i, t in enumerate(strings(b.column("content"))):
         t = (t or "").rstrip()
-        m = MARK.search(t)
+        m = MARK.search(t, max(0, len(t) - 60))  # marks are shorter
         kept = t[: m.start()].rstrip() if m else t
-        if kept and not STOP.search(kept) and not any(sure for _, sure in messages(t)):
-            rows.append(i)
-            texts.append(kept)
-            marks.append(bool(m))
+        if kept and not STOP.search(kept, max(0, len(kept) - 60)):
+            found = messages(t)
+            if not any(placeholder for _, placeholder in found):
+                rows.append(i)
+                texts.append(kept)
+                marks.append(bool(m))
+                said.append([hashed(x) for x, _ in found])
     if not rows:
         return None
     flat, ends = masked(texts)
@@ -105,55 +115,115 @@ def _tails(b: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, grams.size + 1, len(ORDERS), dtype=np.int32)), pa.array(signed(np.ascontiguousarray(grams.reshape(-1)))))
     took = b.take(pa.array(rows))
     cols = [took.column(n) for n in ("block_id", "book_id", "page_index", "block_pos", "type", "line")]
-    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*cols, pa.array(marks), lists], schema, strict=True)], schema=schema)
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*cols, pa.array(marks), pa.array(said, pa.list_(pa.int64())), lists], schema, strict=True)], schema=schema)
 
 
-def _inner_counts(df: DataFrame, tracked: np.ndarray) -> DataFrame:
-    """(key, n): how often each tracked context stands inside a text; summed by partition before the shuffle."""
+def _tracked_counts(df: DataFrame, tracked: np.ndarray, places) -> DataFrame:
+    """(key, n, m): how often each tracked hash is among those that `places(flat, ends, sums)` yields as (hashes, count in m
+    instead of n?) of all texts' masked characters; summed by partition before the shuffle."""
     bits = max(16, int(np.ceil(np.log2(max(len(tracked), 1)))) + 4)
     shift = np.uint64(64 - bits)
-
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("m", pa.int64())])
 
     def run(batches):
         present = np.zeros(1 << bits, dtype=bool)
         present[(tracked >> shift).astype(np.int64)] = True
-        total = np.zeros(len(tracked) + 1, dtype=np.int64)
+        total = np.zeros((2, len(tracked) + 1), dtype=np.int64)
         for whole in batches:
             for b in slices(whole, "content"):
                 flat, ends = masked([(t or "").rstrip() for t in strings(b.column("content"))])
-                sums = _sums(flat)
-                begin = np.concatenate([[0], ends])
-                inside = flat != 0
-                inside[ends - 1] = False
-                at = np.flatnonzero(inside)
-                first = begin[np.searchsorted(ends, at)]
-                for n in ORDERS:
-                    h = context_hashes(flat, at, n, sums, first)
-                    h = h[present[(h >> shift).astype(np.int64)]]
-                    place = np.searchsorted(tracked, h)
-                    hit = place < len(tracked)
-                    hit[hit] = tracked[place[hit]] == h[hit]
-                    total += np.bincount(place[hit], minlength=len(total))
-        some = np.flatnonzero(total[:-1])
+                for h, other in places(flat, ends, _sums(flat)):
+                    some = np.flatnonzero(present[(h >> shift).astype(np.int64)])
+                    h = h[some]
+                    place = np.minimum(np.searchsorted(tracked, h), len(tracked) - 1)
+                    hit = tracked[place] == h
+                    into = other[some][hit].astype(np.int64) if other is not None else 0
+                    total += np.bincount(into * total.shape[1] + place[hit], minlength=total.size).reshape(total.shape)
+        some = np.flatnonzero(total[:, :-1].sum(axis=0))
         if len(some):
-            yield batch(schema, signed(tracked[some]), total[some])
-
-    return df.select("content").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _score(keys: np.ndarray, odds: np.ndarray):
-    def run(b: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
-        g = b.column("grams").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, len(ORDERS))
-        score = np.full(len(g), -6.0)
-        for k in range(len(ORDERS)):  # a longer context replaces a shorter one
-            at = np.minimum(np.searchsorted(keys, g[:, k]), max(len(keys) - 1, 0))
-            hit = keys[at] == g[:, k] if len(keys) else np.zeros(len(g), bool)
-            score[hit] = odds[at[hit]]
-        score -= 2.0 * np.asarray(b.column("mark").to_numpy(zero_copy_only=False), dtype=float)
-        return pa.RecordBatch.from_arrays([b.column(n) for n in ("block_id", "book_id", "page_index", "block_pos", "type", "line")] + [pa.array(score)], schema=schema)
-
-    return run
+            yield batch(schema, signed(tracked[some]), total[0, some], total[1, some])
+
+    return df.select("content").mapInArrow(run, "key bigint, n bigint, m bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def _counted(df: DataFrame, keys: DataFrame, places, most: int) -> DataFrame:
+    """`_tracked_counts` of the keys, at most about `most` of which are sent out at once; more take several passes."""
+    passes = max(1, -(-keys.count() // most))
+    out = None
+    for k in range(passes):
+        part = keys.filter(F.pmod("key", F.lit(passes)) == k) if passes > 1 else keys
+        tracked = np.sort(part.select("key").toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64))
+        if len(tracked):
+            counts = _tracked_counts(df, tracked, places)
+            counts = cut_lineage(counts) if passes > 1 else counts
+            out = counts if out is None else out.unionByName(counts)
+    return out if out is not None else keys.sparkSession.createDataFrame([], "key bigint, n bigint, m bigint")
+
+
+def _inner(flat: np.ndarray, ends: np.ndarray, sums: np.ndarray):
+    """The contexts before every place inside a text."""
+    begin = np.concatenate([[0], ends])
+    inside = flat != 0
+    inside[ends - 1] = False
+    at = np.flatnonzero(inside)
+    first = begin[np.searchsorted(ends, at)]
+    for n in ORDERS:
+        yield context_hashes(flat, at, n, sums, first), None
+
+
+def _words(flat: np.ndarray, ends: np.ndarray, sums: np.ndarray):
+    """What follows every place where a word starts, and whether that is inside a sentence (else a text or sentence starts)."""
+    letter = letter_table()[flat] | (flat == 48)
+    han = (flat >= 0x3040) & (flat <= 0x9FFF)
+    at = np.flatnonzero(letter[1:] & (~letter[:-1] | han[1:])) + 1
+    solid = np.where(np.isin(flat, _BLANK), 0, np.arange(len(flat)))
+    before = flat[np.maximum.accumulate(solid)[at - 1]]
+    last = ends[np.searchsorted(ends, at)] - 1
+    inside = ~((flat[at - 1] == 0) | (before == 0) | np.isin(before, _STOPS))
+    for n in HEADS:
+        yield _range_hashes(flat, at, np.minimum(at + n - 1, last), n, sums), inside
+
+
+def _heads(b: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """The hashes of each text's first masked characters from its first word on."""
+    flat, ends = masked([t or "" for t in strings(b.column("head"))])
+    sums, start = _sums(flat), np.concatenate([[0], ends[:-1]]) + 1
+    word = np.flatnonzero(letter_table()[flat] | (flat == 48))
+    place = np.searchsorted(word, start)
+    first = np.minimum(np.append(word, len(flat) - 1)[place], ends)
+    grams = np.stack([_range_hashes(flat, first, np.minimum(first + n - 1, np.maximum(ends - 1, first)), n, sums) for n in HEADS], axis=1)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, grams.size + 1, len(HEADS), dtype=np.int32)), pa.array(signed(np.ascontiguousarray(grams.reshape(-1)))))
+    return pa.RecordBatch.from_arrays([b.column("block_id"), lists.cast(schema.field(1).type)], schema=schema)
+
+
+def goes_on(ends_page: DataFrame, body: DataFrame, most: int = CONTEXTS) -> DataFrame:
+    """ends_page(block_id, head of the next page's first body block) -> the block_ids whose text goes on there: the head starts
+    in lower case, or what it starts with stands more often inside sentences than at the start of one, as the longest run of
+    its first characters that stands anywhere MIN_ENDS times tells."""
+    heads = cut_lineage(map_arrow(ends_page.select("block_id", "head"), _heads, "block_id bigint, grams array<bigint>"))
+    each = heads.select("block_id", F.posexplode("grams").alias("order", "key"))
+    counts = _counted(body, each.select("key").distinct(), _words, most)
+    best = each.join(counts.filter(F.col("n") + F.col("m") >= MIN_ENDS), "key").groupBy("block_id").agg(F.max(F.struct("order", "n", "m")).alias("best"))
+    first = F.left(F.regexp_replace("head", r"^[^\p{L}\p{N}]+", ""), F.lit(1))
+    lower = ends_page.filter((first == F.lower(first)) & (first != F.upper(first))).select("block_id")
+    return lower.union(best.filter("best.m > best.n").select("block_id"))
+
+
+def context_counts(body: DataFrame, tails: DataFrame, most: int = CONTEXTS) -> DataFrame:
+    """(key, at_end, within) of the contexts that recur as an end: how often they end a text and how often they stand inside."""
+    ends = tails.select(F.explode("grams").alias("key")).groupBy("key").agg(F.count("*").alias("at_end")).filter(F.col("at_end") >= MIN_ENDS)
+    ends = cut_lineage(ends)
+    inner = _counted(body, ends, _inner, most)
+    return ends.join(inner.select("key", F.col("n").alias("within")), "key", "left").fillna(0, ["within"])
+
+
+def scored_tails(tails: DataFrame, counts: DataFrame) -> DataFrame:
+    """The tails with the log-odds of their longest context that recurs; of a tail without any, -6. A cut's mark takes 2."""
+    each = tails.select("block_id", F.posexplode("grams").alias("order", "key"))
+    odds = F.log((F.col("at_end") + 0.5) / (F.col("within") + 0.5))
+    longest = each.join(counts.select("key", odds.alias("odds")), "key").groupBy("block_id").agg(F.max(F.struct("order", "odds")).alias("best"))
+    out = tails.drop("grams").join(longest, "block_id", "left")
+    return out.withColumn("log_odds", F.coalesce("best.odds", F.lit(-6.0)) - F.when(F.col("mark"), 2.0).otherwise(0.0)).drop("best", "mark")
 
 
 def best_split(counts: list[tuple[float, int]], low: float = -3.0, high: float = -0.5) -> float:
@@ -171,32 +241,16 @@ def best_split(counts: list[tuple[float, int]], low: float = -3.0, high: float =
     return min(max(at, low), high)
 
 
-def _is_start(text):
-    """Masked first characters of a text, to tell how often texts start so."""
-    t = F.regexp_replace(F.regexp_replace(F.ltrim(text), r"\d+", "0"), r"\p{Lu}[\p{L}]*", "N")
-    return F.left(t, F.lit(4))
-
-
-def cut_blocks(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """blocks, page_info -> (block_id, book_id, page_index, type, lang, log_odds) of the body blocks that were cut."""
+def cut_blocks(blocks: DataFrame, pages: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """blocks, page_info -> (block_id, book_id, page_index, type, lang, log_odds) of the body blocks that were cut. `texts` are
+    those of problem 2, over whose sources messages must recur to be its cases; without them no message is."""
     blocks = blocks.filter("content is not null and block_id is not null")
     body = blocks.filter(is_body())
-    narrow = body.select("block_id", "book_id", "page_index", "block_pos", "type", F.right("content", F.lit(TAIL)).alias("tail"))
-    narrow = narrow.withColumn("line", F.xxhash64("book_id", letters(F.element_at(F.split(F.rtrim("tail"), "\n"), -1))))
-    ddl = "block_id bigint, book_id string, page_index int, block_pos int, type string, line bigint, mark boolean, grams array<bigint>"
+    narrow = body.select("block_id", "book_id", "page_index", "block_pos", "type", "content")
+    narrow = narrow.withColumn("line", F.xxhash64("book_id", letters(F.substring_index(F.rtrim("content"), "\n", -1))))
+    ddl = "block_id bigint, book_id string, page_index int, block_pos int, type string, line bigint, mark boolean, said array<bigint>, grams array<bigint>"
     tails = cut_lineage(map_arrow(narrow, _tails, ddl).dropDuplicates(["block_id"]))
-    ends = tails.select(F.explode("grams").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    least = max(MIN_ENDS, math.ceil(tails.count() * len(ORDERS) * MIN_SHARE))
-    held = ends.filter(F.col("n") >= least).toArrow()
-    keys = held.column("key").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    keys, at_end = keys[order], held.column("n").to_numpy()[order].astype(float)
-    inner = _inner_counts(body, keys).toArrow()  # at most as many rows as keys
-    within = np.zeros(len(keys))
-    within[np.searchsorted(keys, inner.column("key").to_numpy().astype(np.int64).view(np.uint64))] = inner.column("n").to_numpy()
-    odds = np.log((at_end + 0.5) / (within + 0.5))
-    ddl = "block_id bigint, book_id string, page_index int, block_pos int, type string, line bigint, log_odds double"
-    scored = map_arrow(tails, _score(keys, odds), ddl)
+    scored = scored_tails(tails, context_counts(body, tails))
     langs = pages.select("book_id", "page_index", F.lower("src_lang").alias("lang")).dropDuplicates(["book_id", "page_index"])
     scored = cut_lineage(scored.join(langs, ["book_id", "page_index"], "left").withColumn("lang", F.coalesce("lang", F.lit("und"))))
     histogram = scored.groupBy("lang", "type", (F.floor(F.col("log_odds") * 4) / 4).alias("v")).count().collect()  # languages x 4 x at most 200 steps
@@ -209,17 +263,16 @@ def cut_blocks(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     furniture = blocks.filter(F.col("type").isin("header", "footer", "number") & (letters(F.col("content")) != "")).select(F.xxhash64("book_id", letters(F.col("content"))).alias("line"))
     again = scored.groupBy("line", "page_index").count().groupBy("line").count().filter(F.col("count") >= MIN_PAGES).select("line")
     low = cut_lineage(low.join(furniture.union(again).distinct(), "line", "left_anti"))
+    if texts is not None and not low.filter(F.size("said") > 0).isEmpty():
+        low = cut_lineage(low.join(_residue(low, texts), "block_id", "left_anti"))
 
     body = body.filter(F.trim("content") != "")
-    starts = body.groupBy("book_id", "page_index").agg(F.min(F.struct("block_pos", _is_start(F.col("content")).alias("head"), F.left(F.ltrim("content"), F.lit(8)).alias("raw"))).alias("s"), F.max("block_pos").alias("last"))
-    starts = cut_lineage(starts.select("book_id", "page_index", "last", "s.head", "s.raw"))
-    usual = body.groupBy(_is_start(F.col("content")).alias("head")).agg(F.count("*").alias("times"))
-    ahead = starts.select("book_id", (F.col("page_index") - 1).alias("page_index"), F.col("head").alias("next_head"), F.col("raw").alias("next_raw"))
+    head = F.left(F.ltrim("content"), F.lit(HEAD))
+    starts = body.groupBy("book_id", "page_index").agg(F.min(F.struct("block_pos", head.alias("head"))).alias("s"), F.max("block_pos").alias("last"))
+    starts = cut_lineage(starts.select("book_id", "page_index", "last", "s.head"))
+    ahead = starts.select("book_id", (F.col("page_index") - 1).alias("page_index"), "head")
     ends_page = low.join(starts.select("book_id", "page_index", "last"), ["book_id", "page_index"]).filter(F.col("block_pos") == F.col("last")).join(ahead, ["book_id", "page_index"])
-    ends_page = ends_page.join(usual.withColumnRenamed("head", "next_head"), "next_head", "left")
-    first = F.left(F.regexp_replace("next_raw", r"^[^\p{L}\p{N}]+", ""), F.lit(1))
-    uncased = F.upper(first) == F.lower(first)
-    goes_on = ends_page.filter(F.when(uncased, F.coalesce("times", F.lit(0)) < 5).otherwise(first == F.lower(first))).select("block_id")
+    going_on = goes_on(cut_lineage(ends_page.select("block_id", "head")), body)
 
     formulas = blocks.filter("type = 'formula'").select("book_id", "page_index", F.col("block_pos").alias("after")).distinct()
     nearest = blocks.filter("type <> 'formula_number' and type <> 'number'").select("book_id", "page_index", "block_pos")
@@ -227,11 +280,22 @@ def cut_blocks(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     leads = leads.groupBy("block_id", "book_id", "page_index", "block_pos").agg(F.min("after").alias("after"))
     between = leads.withColumnRenamed("block_pos", "pos").join(nearest, ["book_id", "page_index"]).filter("block_pos > pos and block_pos < after").select("block_id")
     leads = leads.join(between.distinct(), "block_id", "left_anti").select("block_id")
-    return low.join(goes_on.union(leads), "block_id", "left_anti").select("block_id", "book_id", "page_index", "type", "lang", "log_odds")
+    return low.join(going_on.union(leads), "block_id", "left_anti").select("block_id", "book_id", "page_index", "type", "lang", "log_odds")
+
+
+def _residue(low: DataFrame, texts: DataFrame) -> DataFrame:
+    """The blocks that hold a message of problem 2. Only messages are counted: other units can't be in these blocks' lists."""
+    from .p2_residue import CANDIDATE, MIN_SOURCES, _scan
+
+    found = map_arrow(texts.select("record_kind", "record_id", "block_pos", "source", "content"), _scan, CANDIDATE).filter(~F.col("placeholder"))
+    wide = found.groupBy("message_id").agg(F.countDistinct("source").alias("sources")).filter(F.col("sources") >= MIN_SOURCES)
+    return low.select("block_id", F.explode("said").alias("message_id")).join(wide, "message_id", "left_semi").select("block_id").distinct()
 
 
 def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_blocks(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "page_info"))
+    from .p2_residue import texts
+
+    return cut_blocks(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "page_info"), texts(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,6 +135,26 @@ def test_cut_texts(spark, blocks_of):
     assert got == {5000, 5006}
 
 
+def test_a_paragraph_that_goes_on_in_upper_case(spark, blocks_of):
+    rng = random.Random(8)
+    rows = [(i, "b", i, 0, "text", prose(rng, 4)) for i in range(300)]
+    pages = [("Nobody in Kelora could explain why the wall panel outlasted the side note by 3 hours. Nobody in", "Dorela could explain why the wall panel outlasted the side note by 9 hours.")] * 3
+    pages += [("The water sample near Kelora was compared with the paper", "Nobody in Dorela could explain why the wall panel outlasted the side note by 9 hours.")] * 3
+    for k, (end, start) in enumerate(pages):
+        rows += [(5000 + k, "c", 10 * k, 0, "text", end), (6000 + k, "c", 10 * k + 1, 0, "text", start)]
+    got = {r["block_id"] for r in C.cut_blocks(blocks_of(rows), spark.createDataFrame([("b", 1, "en")], "book_id string, page_index int, src_lang string")).collect()}
+    assert got == {5003, 5004, 5005}
+
+
+def test_contexts_in_several_passes(spark, blocks_of):
+    rng = random.Random(9)
+    df = blocks_of([(i, "b", i, 0, "text", prose(rng, 2) + " And so on") for i in range(40)])
+    tails = spark.createDataFrame([(i, [int(x) for x in C.signed(C.np.random.default_rng(k).integers(0, 9, 3, dtype=C.np.uint64))]) for i in range(9) for k in range(4)], "block_id bigint, grams array<bigint>")
+    body = df.select("content")
+    whole, parts = (sorted(map(tuple, C.context_counts(body, tails, most).collect())) for most in (1000, 2))
+    assert whole == parts and whole
+
+
 def test_best_split_finds_the_valley():
     assert -3 <= C.best_split([(-6.0, 50), (-5.5, 40), (2.0, 900), (2.5, 100)]) <= -0.5
     assert C.best_split([]) == -3.0 and C.best_split([(1.0, 5)]) == -3.0
