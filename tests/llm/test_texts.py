@@ -131,8 +131,11 @@ def test_cut_texts(spark, blocks_of):
     ]
     pages = spark.createDataFrame([("b", i, "EN") for i in range(600)] + [("c", 1, None)], "book_id string, page_index int, src_lang string")
     df = blocks_of(rows + extra)
-    got = {r["block_id"] for r in C.cut_blocks(df.union(df.filter("block_id = 5000")), pages).collect()}
+    said = spark.createDataFrame([("block", i, 0, f"s{i}", "Please enable JavaScript") for i in range(3)], "record_kind string, record_id bigint, block_pos int, source string, content string")
+    got = {r["block_id"] for r in C.cut_blocks(df.union(df.filter("block_id = 5000")), pages, said).collect()}
     assert got == {5000, 5006}
+    got = {r["block_id"] for r in C.cut_blocks(df, pages, said.limit(2)).collect()}  # a message that doesn't recur is no case of problem 2
+    assert got == {5000, 5006, 5010}
 
 
 def test_a_paragraph_that_goes_on_in_upper_case(spark, blocks_of):
