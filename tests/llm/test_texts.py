@@ -141,8 +141,8 @@ def test_cut_texts(spark, blocks_of):
 def test_a_paragraph_that_goes_on_in_upper_case(spark, blocks_of):
     rng = random.Random(8)
     rows = [(i, "b", i, 0, "text", prose(rng, 4)) for i in range(300)]
-    pages = [("Nobody in Kelora could explain why the wall panel outlasted the side note by 3 hours. Nobody in", "Dorela could explain why the wall panel outlasted the side note by 9 hours.")] * 3
-    pages += [("The water sample near Kelora was compared with the paper", "Nobody in Dorela could explain why the wall panel outlasted the side note by 9 hours.")] * 3
+    pages = [(f"{prose(rng, 1)} Nobody in", "Dorela could explain why the wall panel outlasted the side note by 9 hours.") for _ in range(3)]
+    pages += [(f"{prose(rng, 1)} The water sample near Kelora was compared with the paper", "Nobody in Dorela could explain why the wall panel outlasted the side note by 9 hours.") for _ in range(3)]
     for k, (end, start) in enumerate(pages):
         rows += [(5000 + k, "c", 10 * k, 0, "text", end), (6000 + k, "c", 10 * k + 1, 0, "text", start)]
     got = {r["block_id"] for r in C.cut_blocks(blocks_of(rows), spark.createDataFrame([("b", 1, "en")], "book_id string, page_index int, src_lang string")).collect()}
