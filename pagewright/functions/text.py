@@ -144,10 +144,10 @@ def map_type(kind: Column) -> Column:
 
 
 def resolve_type(kind: Column, label: Column) -> Column:
-    """The block's own label if it is a client type, else its type, else what the label stands for."""
-    own = F.regexp_replace(F.lower(trim(label)), "[ -]", "_")
+    """The block's label if it is a client type as it stands, else what its type stands for; where that is only text, what the
+    label stands for."""
     typed = map_type(kind)
-    return F.when(own.isin(CLIENT_TYPES), own).when(kind.isNotNull() & ~is_blank(kind) & ((typed != "text") | label.isNull()), typed).when(label.isNotNull(), map_type(label)).otherwise(typed)
+    return F.when(label.isin(CLIENT_TYPES), label).when(typed != "text", typed).otherwise(map_type(label))
 
 
 def is_translatable(kind: Column, content: Column) -> Column:
@@ -162,9 +162,15 @@ def extract_json(reply: Column) -> Column:
 
 
 def error_message(body: Column, most: int = 300) -> Column:
-    """The message of an error body in any of three shapes, else the body cut to `most` characters."""
-    shapes = [F.get_json_object(body, p) for p in ("$.error.message", "$.message", "$.detail")]
-    return F.left(F.coalesce(*shapes, body), F.lit(most))
+    """The message of an error body: the first of `detail`, `message` and `error.message` that is a string; of any other body
+    the first `most` characters."""
+    parsed = F.try_parse_json(body)
+
+    def said(path: str) -> Column:
+        found = F.try_variant_get(parsed, path, "variant")
+        return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(parsed, path, "string"))
+
+    return F.coalesce(said("$.detail"), said("$.message"), said("$.error.message"), F.left(body, F.lit(most)))
 
 
 def normalize_url(url: Column) -> Column:
@@ -201,10 +207,21 @@ def retry_class(status: Column) -> Column:
     return F.when(status == 429, "quota").when(status.isin(500, 502, 503, 504), "transient").otherwise("never")
 
 
+MOST_WAIT, ATTEMPTS = 30.0, 3
+
+
 def backoff_seconds(attempt: Column, retry_after: Column) -> Column:
-    """Wait before the next try: the service's own wish up to 30 s, else powers of two between 0.1 and 30 s."""
-    own = F.when((retry_after >= 0) & (retry_after <= 30), retry_after)
-    return F.coalesce(own, F.greatest(F.lit(0.1), F.least(F.lit(30.0), F.pow(F.lit(2.0), attempt))))
+    """Wait before the next try: the service's wish if it is a number from 0 on, else powers of two, within 0.1 and 30 s."""
+    own = F.when((retry_after >= 0) & (retry_after < F.lit(float("inf"))), retry_after)
+    return F.greatest(F.lit(0.1), F.least(F.lit(MOST_WAIT), F.coalesce(own, F.pow(F.lit(2.0), attempt))))
+
+
+def retry_step(status: Column, attempt: Column, retry_after: Column) -> Column:
+    """What follows an error on the attempt (from 0): `fail` where trying again can't help or the tries are used up, `park` for a
+    quota that takes longer than one may wait here or has no try left, else `wait`."""
+    last, kind = attempt >= ATTEMPTS - 1, retry_class(status)
+    long = F.coalesce((retry_after > MOST_WAIT) & (retry_after < F.lit(float("inf"))), F.lit(False))
+    return F.when(kind == "never", "fail").when((kind == "quota") & (last | long), "park").when(last, "fail").otherwise("wait")
 
 
 def escape_html(c: Column) -> Column:

@@ -41,7 +41,17 @@ def ordered(providers: DataFrame, first: list[str]) -> DataFrame:
     return providers.withColumn("priority", F.when(place > 0, place).otherwise(len(first) + 1)).orderBy("priority", "label", "provider")
 
 
+def _roots(base: Column) -> tuple[Column, Column]:
+    """The base without outer spaces and closing slashes; the same without what may have been pasted along: /v1, /v1/messages."""
+    root = F.regexp_replace(F.trim(base), "/+$", "")
+    return root, F.regexp_replace(F.regexp_replace(root, "/messages$", ""), "/v1$", "")
+
+
 def endpoint(base: Column, protocol: Column) -> Column:
-    root = F.regexp_replace(base, "/+$", "")
-    versioned = F.regexp_replace(root, "/v1$", "")
-    return F.when(protocol == "anthropic-messages", F.concat(versioned, F.lit("/v1/messages"))).when(protocol == "openai-responses", F.concat(root, F.lit("/responses"))).otherwise(F.concat(root, F.lit("/chat/completions")))
+    root, bare_root = _roots(base)
+    return F.when(protocol == "anthropic-messages", F.concat(bare_root, F.lit("/v1/messages"))).when(protocol == "openai-responses", F.concat(root, F.lit("/responses"))).otherwise(F.concat(root, F.lit("/chat/completions")))
+
+
+def models_endpoint(base: Column, protocol: Column) -> Column:
+    root, bare_root = _roots(base)
+    return F.when(protocol == "anthropic-messages", F.concat(bare_root, F.lit("/v1/models"))).otherwise(F.concat(root, F.lit("/models")))

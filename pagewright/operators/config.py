@@ -6,27 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import is_blank, trim
+from pagewright.session import cut_lineage
 
 # What a prompt's template calls the language, and the language where none is set.
 LANGUAGE_FIELD, DEFAULT_LANGUAGE = "{{target_language}}", "Simplified Chinese"
 
 
 def inherited(objects: DataFrame, names: list[str]) -> DataFrame:
-    """objects(id, parent, names..) -> each object's attributes, each from itself or the nearest ancestor that has it. One
-    join a level of the tree, until nobody has a parent left; an object that is its own ancestor ends with it."""
-    out = objects.select("id", F.col("parent").alias("up"), *names)
-    up = objects.select(F.col("id").alias("up"), F.col("parent").alias("next"), *(F.col(n).alias(f"up_{n}") for n in names))
-    for _ in range(64):
+    """objects(id, parent, names..) -> each object's attributes, each from itself or the nearest ancestor that has it. Pointers
+    are doubled: after k joins an object knows 2**k of its ancestors, so a tree of any depth takes the logarithm of its size in
+    joins, and a circle of parents ends there too."""
+    out = cut_lineage(objects.select("id", F.col("parent").alias("up"), *names))
+    for _ in range(out.count().bit_length()):
         if out.filter("up is not null").isEmpty():
             break
-        j = out.join(up, "up", "left")
-        out = j.select("id", F.when(F.col("next") != F.col("id"), F.col("next")).alias("up"), *(F.coalesce(n, f"up_{n}").alias(n) for n in names))
+        up = out.select(F.col("id").alias("up"), F.col("up").alias("next"), *(F.col(n).alias(f"up_{n}") for n in names))
+        out = cut_lineage(out.join(up, "up", "left").select("id", F.col("next").alias("up"), *(F.coalesce(n, f"up_{n}").alias(n) for n in names)))
     return out.drop("up")
 
 
-def page_frame(crop: Column, media: Column, rotate: Column) -> tuple[Column, Column]:
-    """The box a page is shown by, and its rotation in [0, 360)."""
-    return F.coalesce(crop, media), F.pmod(F.coalesce(rotate, F.lit(0)), F.lit(360))
+def page_frames(objects: DataFrame) -> DataFrame:
+    """objects(id, parent, crop, media, rotate) -> (id, frame, rotation): the box a page is shown by, its own or that of the
+    nearest ancestor with any (there the crop box first), and the nearest rotation other than 0, in [0, 360)."""
+    o = objects.select("id", "parent", F.coalesce("crop", "media").alias("frame"), F.nullif(F.col("rotate"), F.lit(0)).alias("rotate"))
+    return inherited(o, ["frame", "rotate"]).select("id", "frame", F.pmod(F.coalesce("rotate", F.lit(0)), F.lit(360)).alias("rotation"))
 
 
 def prompt(template: Column, language: Column) -> Column:

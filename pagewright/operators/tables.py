@@ -190,6 +190,12 @@ def translated_matrix(translation: Column, grid: Column) -> Column:
     return F.when(same & fits, rows)
 
 
+def fitting_matrix(translation: Column, asked: Column) -> Column:
+    """The translated cells as a JSON matrix, if there are as many rows and cells as in the payload that was asked; else null."""
+    rows, source = F.coalesce(F.from_json(translation, "array<array<string>>"), F.from_json(F.get_json_object(translation, "$.table"), "array<array<string>>")), F.from_json(F.get_json_object(asked, "$.table"), "array<array<string>>")
+    return F.when(F.transform(rows, F.size) == F.transform(source, F.size), F.to_json(rows))
+
+
 def human_text(grid: Column) -> Column:
     """A table to read: cells with ` | ` between, blank cells and lines left out."""
     lines = F.transform(matrix(grid), lambda r: F.array_join(F.filter(r, lambda c: trim(c) != ""), " | "))

@@ -30,7 +30,7 @@ def requests(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     j = blocks.join(pages.filter("finished").select(*PAGE, F.coalesce("translated", F.lit(False)).alias("done")), PAGE)
     is_table = F.col("type") == "table"
     j = j.filter(T.is_translatable(F.col("type"), F.col("content")) & F.col("translation").isNull() & (~F.col("done") | is_table))
-    j = j.withColumn("q", F.when(is_table, tables.payload(tables.parse_marks(F.col("content")))).otherwise(F.col("content"))).filter("q is not null")
+    j = j.withColumn("q", F.when(is_table, tables.payload(tables.parse_any(F.when(is_table, F.col("content"))))).otherwise(F.col("content"))).filter("q is not null")
     n = F.row_number().over(W.partitionBy(*PAGE).orderBy("block_pos")) - 1
     return j.select(*PAGE, n.cast("string").alias("index"), "block_pos", "type", "q")
 
@@ -41,7 +41,7 @@ def context(blocks: DataFrame, pages: DataFrame, direction: str, most: int = CAN
     fine = blocks.filter(T.is_translatable(F.col("type"), F.col("content")))
     near = fine.withColumn("rn", F.row_number().over(W.partitionBy(*PAGE).orderBy(order))).filter(F.col("rn") <= most)
     place = F.row_number().over(W.partitionBy(*PAGE).orderBy("block_pos")) - 1
-    shown = F.coalesce(F.when(F.col("type") == "table", tables.payload(tables.parse_marks(F.col("content")))), F.col("content"))
+    shown = F.coalesce(tables.payload(tables.parse_any(F.when(F.col("type") == "table", F.col("content")))), F.col("content"))
     near = near.select("book_id", F.col("page_index").alias("neighbour"), place.cast("string").alias("index"), shown.alias("c"), "block_pos")
     wanted = pages.select("book_id", "page_index", (F.col("page_index") + (-1 if direction == "before" else 1)).alias("neighbour"))
     return wanted.join(near, ["book_id", "neighbour"])
@@ -67,24 +67,30 @@ def parse_replies(replies: DataFrame) -> DataFrame:
 
 
 def validate(requests: DataFrame, items: DataFrame) -> DataFrame:
-    """Pages by whether the reply answers every request once and nothing else."""
-    got = items.filter("ok and index is not null").groupBy(*PAGE, "index").agg(F.count("*").alias("times"))
-    j = requests.select(*PAGE, "index", F.lit(1).alias("asked")).join(got, [*PAGE, "index"], "full_outer")
-    by = j.groupBy(*PAGE).agg(F.count_if(F.col("times").isNull()).alias("missing"), F.count_if(F.col("asked").isNull()).alias("unasked"), F.count_if(F.col("times") > 1).alias("repeated"))
-    return by.select(*PAGE, "missing", "unasked", "repeated", ((F.col("missing") == 0) & (F.col("unasked") == 0) & (F.col("repeated") == 0)).alias("valid"))
+    """Pages by whether the reply answers every request once and nothing else, tables in the shape that was asked."""
+    got = items.filter("ok and index is not null").groupBy(*PAGE, "index").agg(F.count("*").alias("times"), F.first("value").alias("value"))
+    j = requests.select(*PAGE, "index", "type", "q", F.lit(1).alias("asked")).join(got, [*PAGE, "index"], "full_outer")
+    misshapen = (F.col("type") == "table") & F.col("value").isNotNull() & tables.fitting_matrix(F.col("value"), F.col("q")).isNull()
+    sums = {"missing": F.col("times").isNull(), "unasked": F.col("asked").isNull(), "repeated": F.col("times") > 1, "misshapen": misshapen}
+    by = j.groupBy(*PAGE).agg(*(F.count_if(x).alias(n) for n, x in sums.items()))
+    return by.withColumn("valid", sum((F.col(n) for n in sums), F.lit(0)) == 0)
 
 
 def apply_values(blocks: DataFrame, requests: DataFrame, items: DataFrame) -> DataFrame:
-    """Blocks with the replies' values: a null value leaves the block as it is, but a table without one gets its source."""
-    done = requests.join(items.filter("ok").select(*PAGE, "index", "value"), [*PAGE, "index"])
-    source = F.when(F.col("type") == "table", F.get_json_object("q", "$.table"))
-    done = done.select(*PAGE, "block_pos", F.coalesce("value", source).alias("new"))
-    return blocks.join(done, [*PAGE, "block_pos"], "left").withColumn("translation", F.coalesce("new", "translation")).drop("new")
+    """Blocks with the values of valid replies; a page whose reply isn't valid stays as it is. A null value leaves the block as
+    it is, but a table without one gets its source. Tables keep the grid that was asked (`grid`, made of the content's)."""
+    valid = validate(requests, items).filter("valid").select(*PAGE)
+    done = requests.join(valid, PAGE, "left_semi").join(items.filter("ok").select(*PAGE, "index", "value"), [*PAGE, "index"])
+    is_table = F.col("type") == "table"
+    value = F.when(is_table, F.coalesce(tables.fitting_matrix(F.col("value"), F.col("q")), F.get_json_object("q", "$.table"))).otherwise(F.col("value"))
+    done = done.select(*PAGE, "block_pos", value.alias("new"), is_table.alias("gridded"))
+    out = blocks.join(done, [*PAGE, "block_pos"], "left").withColumn("translation", F.coalesce("new", "translation"))
+    return out.withColumn("grid", tables.parse_any(F.when(F.col("gridded"), F.col("content")))).drop("new", "gridded")
 
 
 def bypass(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Content taken for translation on pages that are recognised and not translated; tables keep their source matrix."""
     open_pages = pages.filter("finished and not coalesce(translated, false)").select(*PAGE, F.lit(True).alias("open"))
-    own = F.when(F.col("type") == "table", tables.source_matrix(tables.parse_marks(F.col("content")))).otherwise(F.col("content"))
+    own = F.when(F.col("type") == "table", tables.source_matrix(tables.parse_any(F.when(F.col("type") == "table", F.col("content"))))).otherwise(F.col("content"))
     take = F.col("open").isNotNull() & F.col("translation").isNull() & T.is_translatable(F.col("type"), F.col("content"))
     return blocks.join(open_pages, PAGE, "left").withColumn("translation", F.when(take, own).otherwise(F.col("translation"))).drop("open")

@@ -19,9 +19,7 @@ def page_frames(spark: SparkSession, d: str) -> DataFrame:
         F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") >= 10, F.floor(F.col("p_partkey") / 10).cast("bigint")).alias("parent"),
         F.when(F.col("p_partkey") % 7 == 0, F.col("p_size")).alias("crop"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") * 2).alias("media"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_size") * 90 - 900).alias("rotate"),
     ).dropDuplicates(["id"])
-    got = K.inherited(o, ["crop", "media", "rotate"])
-    frame, rotation = K.page_frame(F.col("crop"), F.col("media"), F.col("rotate"))
-    return got.select("id", frame.cast("bigint").alias("frame"), rotation.cast("bigint").alias("rotation"))
+    return K.page_frames(o).select("id", F.col("frame").cast("bigint").alias("frame"), F.col("rotation").cast("bigint").alias("rotation"))
 
 
 def prompts_by_page(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +107,7 @@ QUERIES = {
 SQL = {
     "page_frames": """WITH RECURSIVE o AS (SELECT DISTINCT p_partkey AS id, CASE WHEN p_partkey >= 10 THEN p_partkey // 10 END AS parent, CASE WHEN p_partkey % 7 = 0 THEN p_size END AS crop, CASE WHEN p_partkey % 3 = 0 THEN p_size * 2 END AS media, CASE WHEN p_partkey % 5 = 0 THEN p_size * 90 - 900 END AS rotate FROM part),
 u AS (SELECT id, 0 AS depth, parent, crop, media, rotate FROM o UNION ALL SELECT u.id, depth + 1, o.parent, o.crop, o.media, o.rotate FROM u JOIN o ON o.id = u.parent)
-SELECT id, CAST(coalesce(arg_min(crop, depth) FILTER (crop IS NOT NULL), arg_min(media, depth) FILTER (media IS NOT NULL)) AS BIGINT) AS frame, CAST(((coalesce(arg_min(rotate, depth) FILTER (rotate IS NOT NULL), 0) % 360) + 360) % 360 AS BIGINT) AS rotation FROM u GROUP BY id""",
+SELECT id, CAST(arg_min(coalesce(crop, media), depth) FILTER (crop IS NOT NULL OR media IS NOT NULL) AS BIGINT) AS frame, CAST(((coalesce(arg_min(rotate, depth) FILTER (rotate <> 0), 0) % 360) + 360) % 360 AS BIGINT) AS rotation FROM u GROUP BY id""",
     "prompts_by_page": "SELECT book_id, page_index, CASE WHEN page_index % 2 = 0 THEN 'Translate into ' || l || '.' ELSE 'Translate.' || chr(10) || chr(10) || 'Target language: ' || l END AS prompt FROM (SELECT *, CASE WHEN page_index % 5 = 0 THEN 'Simplified Chinese' ELSE target_lang END AS l FROM page_info)",
     "settings_merge": "SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN 16 ELSE event_id % 40 END AS INTEGER) AS batch, event_id % 2 <> 0 AS auto FROM events",
     "model_payloads": "SELECT s_suppkey, NOT (s_suppkey % 2 = 0 AND s_suppkey % 3 = 0) AS sent, CASE WHEN NOT (s_suppkey % 2 = 0 AND s_suppkey % 3 = 0) THEN 'm' END AS model FROM supplier",

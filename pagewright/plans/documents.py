@@ -189,7 +189,8 @@ def replies(spark: SparkSession, d: str) -> DataFrame:
     r = X.requests(*_bp(spark, d))
     m = F.col("page_index") % 5
     index = F.when(m == 3, F.lit("null")).when(m == 1, F.col("index")).otherwise(F.concat(F.lit('"'), "index", F.lit('"')))
-    item = F.concat(F.lit('{"index":'), index, F.lit(',"A":'), F.to_json(F.array(F.upper(F.left("q", F.lit(40))))), F.lit("}"))
+    value = F.when((F.col("type") == "table") & (m == 0), F.col("q")).otherwise(F.upper(F.left("q", F.lit(40))))  # elsewhere tables lose their shape
+    item = F.concat(F.lit('{"index":'), index, F.lit(',"A":'), F.to_json(F.array(value)), F.lit("}"))
     item = F.regexp_replace(F.regexp_replace(item, r'"A":\[', '"A":'), r"\]\}$", "}")
     r = r.select("book_id", "page_index", "block_pos", item.alias("item"))
     p = r.groupBy("book_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("block_pos", "item"))).alias("l"))
@@ -213,7 +214,7 @@ def apply_result(spark: SparkSession, d: str) -> DataFrame:
     """Translated blocks of each page after the replies."""
     b, p = _bp(spark, d)
     out = X.apply_values(b, X.requests(b, p), X.parse_replies(replies(spark, d)))
-    return out.groupBy("book_id", "page_index").agg(F.count("translation").alias("translated"), F.count("*").alias("blocks"))
+    return out.groupBy("book_id", "page_index").agg(F.count("translation").alias("translated"), F.count("grid").alias("grids"), F.count("*").alias("blocks"))
 
 
 def bypass_apply(spark: SparkSession, d: str) -> DataFrame:
@@ -276,7 +277,9 @@ SELECT book_id, page_index, NOT finished AS needs_ocr, finished AND NOT coalesce
     "context_after": _context("", "+"),
     "stride_phases": "SELECT book_id, page_index, (row_number() OVER (PARTITION BY book_id ORDER BY page_index) - 1) % 2 AS phase FROM page_info WHERE finished",
     "reply_parse": f"WITH {BLOCKS}, {_RT} SELECT book_id, page_index, page_index % 5 NOT IN (3, 4) AS ok, CASE WHEN page_index % 5 IN (3, 4) THEN 0 WHEN page_index % 5 = 2 THEN count(*) - 1 ELSE count(*) END AS items FROM rn GROUP BY 1, 2",
-    "reply_validate": f"WITH {BLOCKS}, {_RT} SELECT book_id, page_index, CASE WHEN page_index % 5 IN (3, 4) THEN count(*) WHEN page_index % 5 = 2 THEN 1 ELSE 0 END AS missing, CAST(0 AS BIGINT) AS unasked, CAST(0 AS BIGINT) AS repeated, page_index % 5 IN (0, 1) AS valid FROM rn GROUP BY 1, 2",
-    "apply_result": f"WITH {BLOCKS}, {_RT} SELECT bl.book_id, bl.page_index, count(*) FILTER (bl.translation IS NOT NULL OR (rn.idx IS NOT NULL AND (bl.page_index % 5 IN (0, 1) OR (bl.page_index % 5 = 2 AND rn.idx < rn.n - 1)))) AS translated, count(*) AS blocks FROM bl LEFT JOIN rn USING (block_id) GROUP BY 1, 2",
+    "reply_validate": f"""WITH {BLOCKS}, {_RT}, a AS (SELECT *, page_index % 5 AS m, type = 'table' AND (page_index % 5 = 1 OR (page_index % 5 = 2 AND idx < n - 1)) AS bad FROM rn)
+SELECT book_id, page_index, CASE WHEN m IN (3, 4) THEN count(*) WHEN m = 2 THEN 1 ELSE 0 END AS missing, CAST(0 AS BIGINT) AS unasked, CAST(0 AS BIGINT) AS repeated, count(*) FILTER (bad) AS misshapen, m IN (0, 1) AND count(*) FILTER (bad) = 0 AS valid FROM a GROUP BY book_id, page_index, m""",
+    "apply_result": f"""WITH {BLOCKS}, {_RT}, v AS (SELECT book_id, page_index, page_index % 5 = 0 OR (page_index % 5 = 1 AND count(*) FILTER (type = 'table') = 0) AS valid FROM rn GROUP BY 1, 2)
+SELECT bl.book_id, bl.page_index, count(*) FILTER (bl.translation IS NOT NULL OR (rn.idx IS NOT NULL AND v.valid)) AS translated, count(*) FILTER (rn.type = 'table' AND v.valid) AS grids, count(*) AS blocks FROM bl LEFT JOIN rn USING (block_id) LEFT JOIN v ON v.book_id = bl.book_id AND v.page_index = bl.page_index GROUP BY 1, 2""",
     "bypass_apply": f"WITH {BLOCKS} SELECT block_id, CASE WHEN translation IS NULL AND p.finished AND NOT coalesce(p.translated, false) AND {_FINE} THEN content ELSE translation END AS translation FROM bl LEFT JOIN page_info p USING (book_id, page_index) WHERE type <> 'table'",
 }

@@ -173,8 +173,10 @@ def model_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def endpoint_urls(spark: SparkSession, d: str) -> DataFrame:
-    m = _models(spark, d)
-    return m.select("seq", C.endpoint(F.col("url"), F.col("api")).alias("endpoint"))
+    """Where questions go and where models are listed; some URLs were pasted with more than the base."""
+    pasted = F.element_at(F.array(*map(F.lit, ["", "v1", "v1/messages", "/ ", "messages/"])), (F.col("seq") % 5 + 1).cast("int"))
+    m = _models(spark, d).withColumn("url", F.concat(F.lit(" "), F.regexp_replace("url", "/v[0-9]/$", "/"), pasted))
+    return m.select("seq", C.endpoint(F.col("url"), F.col("api")).alias("endpoint"), C.models_endpoint(F.col("url"), F.col("api")).alias("models"))
 
 
 QUERIES = {
@@ -217,5 +219,8 @@ q AS (SELECT key, CASE n WHEN 0 THEN 'https://api.' || br || '.example/v1' WHEN
 SELECT key, coalesce(e.provider, (SELECT arg_min(b.provider, b.place) FROM b WHERE regexp_extract(b.base, '^[a-z]*:?/*([^/:]*)', 1) = regexp_extract(q.u, '^[a-z]*:?/*([^/:]*)', 1) AND (starts_with(q.u, b.base) OR starts_with(b.base, q.u))), 'custom') AS provider FROM q LEFT JOIN e USING (u)""",
     "provider_order": "SELECT n_name AS provider, CAST(CASE n_name WHEN 'JAPAN' THEN 1 WHEN 'BRAZIL' THEN 2 ELSE 3 END AS BIGINT) AS priority FROM nation",
     "model_ids": "SELECT DISTINCT p_name AS id FROM part",
-    "endpoint_urls": f"WITH {_MODELS} SELECT seq, CASE api WHEN 'anthropic-messages' THEN regexp_replace(rtrim(url, '/'), '/v1$', '') || '/v1/messages' WHEN 'openai-responses' THEN rtrim(url, '/') || '/responses' ELSE rtrim(url, '/') || '/chat/completions' END AS endpoint FROM md",
+    "endpoint_urls": f"""WITH {_MODELS}, u AS (SELECT seq, api, 'https://api.' || lower(replace(provider, '#', '')) || '.example' AS h, seq % 5 AS k FROM md),
+r AS (SELECT seq, api, h, CASE k WHEN 1 THEN h || '/v1' WHEN 2 THEN h || '/v1/messages' WHEN 4 THEN h || '/messages' ELSE h END AS root FROM u)
+SELECT seq, CASE api WHEN 'anthropic-messages' THEN h || '/v1/messages' WHEN 'openai-responses' THEN root || '/responses' ELSE root || '/chat/completions' END AS endpoint,
+ CASE api WHEN 'anthropic-messages' THEN h || '/v1/models' ELSE root || '/models' END AS models FROM r""",
 }

@@ -149,7 +149,17 @@ def retry_plan(spark: SparkSession, d: str) -> DataFrame:
     s = service_pages(spark, d)
     status = F.element_at(F.array(*map(F.lit, [200, 429, 500, 503, 404, 504, 502])), (F.col("service_page_id") % 7 + 1).cast("int"))
     wish = F.when(F.col("service_page_id") % 3 == 0, (F.col("service_index") * 4).cast("double"))
-    return s.select("service_page_id", T.retry_class(status).alias("retry"), T.backoff_seconds((F.col("service_page_id") % 8).cast("double"), wish).alias("wait_s"))
+    attempt = (F.col("service_page_id") % 4).cast("double")
+    return s.select("service_page_id", T.retry_class(status).alias("retry"), T.retry_step(status, attempt, wish).alias("step"), T.backoff_seconds(attempt, wish).alias("wait_s"))
+
+
+def error_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of error bodies in several shapes, made of service pages."""
+    s, m = service_pages(spark, d), F.col("service_page_id") % 7
+    name = F.col("service_page_id").cast("string")
+    shapes = ['{"detail":"d%","message":"m%"}', '{"object":"error","message":"m%","error":{"message":"e%"}}', '{"error":{"message":"e%"}}', '{"detail":[{"msg":"no"}],"message":"m%"}', '{"detail":7,"error":"x%"}', "<html>gateway %</html>", '{"message":null,"error":{"message":"e%"}}']
+    body = F.replace(F.element_at(F.array(*map(F.lit, shapes)), (m + 1).cast("int")), F.lit("%"), name)
+    return s.select("service_page_id", T.error_message(body).alias("message"))
 
 
 def data_uri_decode(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_fuzzy_pairs, text_dual_foreign, text_dice_titles, text_clean, text_formula_wrap, label_map_foreign, label_resolve, display_text, math_segments, types_per_page, dedup_foreign_fold,
-        dedup_loss_audit, page_filter_parse, url_normalize, version_gt, retry_plan, data_uri_decode,
+        dedup_loss_audit, page_filter_parse, url_normalize, version_gt, retry_plan, error_messages, data_uri_decode,
     )
 }
 
@@ -212,7 +222,7 @@ def _dice(ga: str, gb: str, a: str, b: str) -> str:
 
 
 _TYPES = ", ".join(f"'{x}'" for x in T.CLIENT_TYPES)
-_RESOLVE = f"CASE WHEN {_label('label')} IN ({_TYPES}) THEN {_label('label')} WHEN type IS NOT NULL AND {_trim('type')} <> '' AND ({_map('type')} <> 'text' OR label IS NULL) THEN {_map('type')} WHEN label IS NOT NULL THEN {_map('label')} ELSE {_map('type')} END"
+_RESOLVE = f"CASE WHEN label IN ({_TYPES}) THEN label WHEN {_map('type')} <> 'text' THEN {_map('type')} ELSE {_map('label')} END"
 _NESTED = SERVICE + ", n AS (SELECT service_page_id, CAST(i - 1 AS INTEGER) AS pos, blocks[i].type AS type, blocks[i].label AS label, blocks[i].content AS content FROM sp, unnest(range(1, len(blocks) + 1)) AS u(i))"
 _TRANS = ", ".join(f"'{x}'" for x in T.TRANSLATABLE)
 _FEATURES = f"""f AS (SELECT block_id, book_id, page_index, block_pos, {_norm('content')} AS norm, regexp_extract_all(lower(content), '[0-9a-z]+') AS toks FROM bl WHERE content <> ''),
@@ -242,7 +252,8 @@ SELECT service_page_id, pos, CASE WHEN kind = 'formula' THEN {_wrap('c')} ELSE c
     "types_per_page": f"WITH {BLOCKS} SELECT book_id, page_index, count(DISTINCT type) AS types, array_to_string(list_sort(list(DISTINCT type)), ',') AS type_list FROM bl GROUP BY 1, 2",
     "math_segments": f"WITH {BLOCKS}, s AS (SELECT block_id, regexp_extract_all(content, '(?s)\\$\\$.+?\\$\\$|\\\\\\[.+?\\\\\\]|\\\\\\(.+?\\\\\\)') AS l FROM bl) SELECT block_id, CAST(i - 1 AS INTEGER) AS n, l[i] AS formula, replace(replace(replace(replace(l[i], '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br>') AS escaped FROM s, unnest(range(1, len(l) + 1)) AS u(i)",
     "version_gt": "SELECT p_partkey, (p_size % 4, p_partkey % 7, 0) > (p_size % 3, p_partkey % 5, p_size % 2) AS newer FROM part",
-    "retry_plan": f"WITH {SERVICE}, r AS (SELECT *, [200, 429, 500, 503, 404, 504, 502][service_page_id % 7 + 1] AS status, CASE WHEN service_page_id % 3 = 0 THEN service_index * 4.0 END AS wish FROM sp) SELECT service_page_id, CASE WHEN status = 429 THEN 'quota' WHEN status IN (500, 502, 503, 504) THEN 'transient' ELSE 'never' END AS retry, coalesce(CASE WHEN wish BETWEEN 0 AND 30 THEN CAST(wish AS DOUBLE) END, greatest(0.1, least(30.0, pow(2.0, service_page_id % 8)))) AS wait_s FROM r",
+    "retry_plan": f"WITH {SERVICE}, r AS (SELECT *, [200, 429, 500, 503, 404, 504, 502][service_page_id % 7 + 1] AS status, CASE WHEN service_page_id % 3 = 0 THEN service_index * 4.0 END AS wish FROM sp) SELECT service_page_id, CASE WHEN status = 429 THEN 'quota' WHEN status IN (500, 502, 503, 504) THEN 'transient' ELSE 'never' END AS retry, CASE WHEN status IN (200, 404) THEN 'fail' WHEN status = 429 AND (service_page_id % 4 >= 2 OR wish > 30) THEN 'park' WHEN service_page_id % 4 >= 2 THEN 'fail' ELSE 'wait' END AS step, greatest(0.1, least(30.0, coalesce(CAST(wish AS DOUBLE), pow(2.0, service_page_id % 4)))) AS wait_s FROM r",
+    "error_messages": f"WITH {SERVICE} SELECT service_page_id, CASE service_page_id % 7 WHEN 0 THEN 'd' || service_page_id WHEN 1 THEN 'm' || service_page_id WHEN 2 THEN 'e' || service_page_id WHEN 3 THEN 'm' || service_page_id WHEN 4 THEN '{{\"detail\":7,\"error\":\"x' || service_page_id || '\"}}' WHEN 5 THEN '<html>gateway ' || service_page_id || '</html>' ELSE 'e' || service_page_id END AS message FROM sp",
     "data_uri_decode": "SELECT id, min(name) AS name, CAST(strlen(min(name)) AS INTEGER) AS bytes FROM books GROUP BY 1",
     "url_normalize": "WITH b AS (SELECT DISTINCT id, ascii(substring(id, 2, 1)) % 5 AS n FROM books) SELECT id, CASE n WHEN 0 THEN 'http://' || id || '.example/api' WHEN 1 THEN 'https://user@' || id || ':9055/x?y' WHEN 2 THEN 'http://127.0.0.1:80' WHEN 3 THEN NULL ELSE 'http://[::1]:9055' END AS url, CASE n WHEN 0 THEN false WHEN 1 THEN false WHEN 3 THEN NULL ELSE true END AS loopback FROM b",
     "page_filter_parse": f"""WITH {SERVICE} SELECT service_page_id, CASE service_index % 5 WHEN 2 THEN 'out of range' WHEN 3 THEN 'malformed' WHEN 4 THEN 'no page' END AS error,
