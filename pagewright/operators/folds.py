@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,10 @@ RECALL_LABELS = ["text", "paragraph_title", "doc_title", "abstract", "content",
 TILE_LABELS = [*RECALL_LABELS, "header", "footer"]
 
 
+#: By how many pixels a detection grows at each side.
+GROW = 2.0
+
+
 def page_arrays(boxes: DataFrame, *keys: str, columns: list[str] | None = None) -> DataFrame:
     """One row per page with its boxes as an array in order of seq."""
     names = columns or BOX
@@ -85,52 +90,66 @@ def dedup_text(items: Column, similar, least_overlap: float = 0.15) -> Column:
 # -- priority merge with fixpoint ---------------------------------------------------------------------------------------
 
 
-def _overlap(a: list, b: list) -> tuple[float, float]:
-    both = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    own, other = (a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1])
-    either = own + other - both
-    return (both / either if either > 0 else 0.0), (both / own if own > 0 else 0.0)
-
-
-def detects_again(c: list, k: list, iou_limit: float = 0.5, limit: float = 0.35, structured: float = 0.25) -> bool:
-    """Boxes as [x1, y1, x2, y2, label, ...]."""
-    same, inside = _overlap(c, k)
-    if same > iou_limit:
-        return True
-    if k[4] in G.FIGURES and c[4] not in G.FIGURES:
-        return False
-    return inside > (structured if k[4] in G.STRUCTURED else limit)
+def detects_again(c: np.ndarray, kept: np.ndarray, c_kind: np.ndarray, kept_kind: int, iou_limit: float = 0.5, limits: tuple = (0.25, 0.35, 0.35)) -> np.ndarray:
+    """Which of the boxes c (n x 4) detect the box `kept` again? Kinds: 0 structured, 1 figure, 2 other. Either they mostly are
+    the same area, or the kept one holds enough of the other; but a figure keeps what is inside it and no figure."""
+    both = np.prod(np.maximum(np.minimum(c[:, 2:], kept[2:]) - np.maximum(c[:, :2], kept[:2]), 0.0), axis=1)
+    own, other = np.prod(c[:, 2:] - c[:, :2], axis=1), float(np.prod(kept[2:] - kept[:2]))
+    share = lambda part, whole: np.divide(part, whole, out=np.zeros_like(part), where=whole > 0)
+    inside = share(both, own) > limits[kept_kind]
+    if kept_kind == 1:
+        inside &= c_kind == 1
+    return (share(both, own + other - both) > iou_limit) | inside
+
+
+def _absorb(rect: np.ndarray, kind: np.ndarray, live: list[int], at: int) -> bool:
+    """Let the kept box at this place take in those after it, the last that it absorbs first, as it grows; has any gone?"""
+    end, gone = len(live), False
+    while at + 1 < end:
+        others = live[at + 1 : end]
+        hits = np.flatnonzero(detects_again(rect[others], rect[live[at]], kind[others], int(kind[live[at]])))
+        if not len(hits):
+            break
+        end = at + 1 + int(hits[-1])
+        taken = live.pop(end)
+        rect[live[at]] = np.concatenate([np.minimum(rect[live[at], :2], rect[taken, :2]), np.maximum(rect[live[at], 2:], rect[taken, 2:])])
+        gone = True
+    return gone
 
 
 def merge_page(boxes: list[list]) -> list[list]:
-    """boxes: [x1, y1, x2, y2, label, score, origin, seq]; kept boxes by falling score. After every union all pairs are
-    decided anew until none absorbs another."""
-    level = {**dict.fromkeys(G.STRUCTURED, 0), **dict.fromkeys(G.FIGURES, 1)}
-    size = lambda b: max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
-    grow = lambda a, b: a.__setitem__(slice(0, 4), [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])])
-    kept: list[list] = []
-    for b in sorted(map(list, boxes), key=lambda b: (level.get(b[4], 2), b[6], -size(b), -b[5], b[7])):
-        host = next((k for k in kept if detects_again(b, k)), None)
-        if host is None:
-            kept.append(b)
-            continue
-        grow(host, b)
-        moved = True
-        while moved:
-            moved = False
-            for i in range(len(kept)):
-                j = len(kept) - 1
-                while j > i:
-                    if detects_again(kept[j], kept[i]):
-                        grow(kept[i], kept.pop(j))
-                        moved = True
-                    j -= 1
-    return sorted(kept, key=lambda b: -b[5])
-
-
-def merge_boxes(boxes: DataFrame, *keys: str, least_score: float = 0.35, least_area: float = 256.0, most: int = 100) -> DataFrame:
-    """boxes(keys, x1..seq) -> the merged boxes of each page, the `most` best by score, with their place."""
-    fine = boxes.filter((F.col("score") >= least_score) & (G.area(G.box()) >= least_area))
+    """boxes: [x1, y1, x2, y2, label, score, origin, seq]; kept boxes by falling score. By priority, each box joins the first
+    kept one that it detects again; after every union all pairs are decided anew until none absorbs another."""
+    if not boxes:
+        return []
+    kinds = {**dict.fromkeys(G.STRUCTURED, 0), **dict.fromkeys(G.FIGURES, 1)}
+    rect, kind = np.array([b[:4] for b in boxes], dtype=float), np.array([kinds.get(b[4], 2) for b in boxes])
+    area = np.prod(np.maximum(rect[:, 2:] - rect[:, :2], 0.0), axis=1)
+    score, origin, seq = (np.array([b[k] for b in boxes], dtype=float) for k in (5, 6, 7))
+    live: list[int] = []
+    for i in np.lexsort((seq, -score, -area, origin, kind)).tolist():
+        host = next((p for p, k in enumerate(live) if detects_again(rect[[i]], rect[k], kind[[i]], int(kind[k]))[0]), None)
+        live.append(i)
+        if host is not None:
+            live.pop()
+            k = live[host]
+            rect[k] = np.concatenate([np.minimum(rect[k, :2], rect[i, :2]), np.maximum(rect[k, 2:], rect[i, 2:])])
+            changed = True
+            while changed:
+                changed, at = False, 0
+                while at < len(live):
+                    changed |= _absorb(rect, kind, live, at)
+                    at += 1
+    return [[*rect[i].tolist(), *boxes[i][4:]] for i in sorted(live, key=lambda i: -boxes[i][5])]
+
+
+def merge_boxes(boxes: DataFrame, *keys: str, least_score: float = 0.35, least_area: float = 256.0, most: int = 100, pixels: float = GROW, size: tuple[str, str] | None = None) -> DataFrame:
+    """boxes(keys, x1..seq) -> the merged boxes of each page, the `most` best by score, with their place. Boxes grow by `pixels`
+    and are cut to the page (whose width and height the columns `size` name) before anything is asked of them."""
+    grown = boxes.withColumns(G.expand(G.box(), pixels))
+    if size:
+        grown = grown.withColumns(G.clamp(G.box(), F.col(size[0]).cast("double"), F.col(size[1]).cast("double")))
+    fine = grown.filter((F.col("score") >= least_score) & (G.area(G.box()) >= least_area))
     pages = page_arrays(fine, *keys)
     schema = StructType([*boxes.select(*keys).schema.fields, *StructType.fromDDL("place int, x1 double, y1 double, x2 double, y2 double, label string, score double, origin int, seq bigint").fields])
     arrow = to_arrow_schema(schema)

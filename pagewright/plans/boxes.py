@@ -200,7 +200,8 @@ def merge_pass_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_box_filter(spark: SparkSession, d: str) -> DataFrame:
-    return folds.merge_boxes(boxes(spark, d), "page")
+    """The regions of each recognised page, grown, cut to the page and merged by priority."""
+    return folds.merge_boxes(regions(spark, d).withColumn("origin", F.lit(0)), "result_id", size=("width", "height"))
 
 
 def lines_group_fold(spark: SparkSession, d: str) -> DataFrame:

@@ -43,7 +43,7 @@ def ink_trim(spark: SparkSession, d: str) -> DataFrame:
             out = []
             for r in b.itertuples(index=False):
                 ink = N.draw((r.height, r.width), [[x[0] + 9, x[1] + 9, x[2] - 9, x[3] - 9] for x in r.boxes])
-                out += [(r.result_id, n, *N.trim_to_ink(list(map(float, x)), ink)) for n, x in enumerate(r.boxes)]
+                out += [(r.result_id, n, *x) for n, x in enumerate(N.trim_to_ink([list(map(float, x)) for x in r.boxes], ink))]
             yield pd.DataFrame(out, columns=["result_id", "seq", "x1", "y1", "x2", "y2"])
 
     return _rasters(spark, d).mapInPandas(run, "result_id bigint, seq int, x1 double, y1 double, x2 double, y2 double")
@@ -67,17 +67,19 @@ def stub_model(asked: dict[str, str], context: list[str] | None, n: int) -> str:
     """Answers in capitals; asks for context where a text starts in lower case, drops an item in its first answer to five."""
     if context is None and any(t[:1].islower() for t in asked.values()):
         return json.dumps({"need_context": "before"})
-    items = [{"index": i, "A": t.upper()} for i, t in asked.items()]
+    items = [{"index": i, "A": t if t.startswith('{"table"') else t.upper()} for i, t in asked.items()]
+    if context:
+        return json.dumps({"result": items, "external_index": 0, "external": context[0].upper()})
     return "```json\n" + json.dumps({"result": items[:-1] if n == 1 and len(items) == 5 else items}) + "\n```"
 
 
 def context_protocol(spark: SparkSession, d: str) -> DataFrame:
     b, p = _bp(spark, d)
-    r = X.requests(b, p).groupBy("book_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("block_pos", "index", "q"))).alias("l"))
+    r = X.requests(b, p).groupBy("book_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("block_pos", "index", "q", (F.col("type") == "table").alias("is_table")))).alias("l"))
     for side in ("before", "after"):
         c = X.context(b, p, side).groupBy("book_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("block_pos", "c"))).alias(side))
         r = r.join(c.select("book_id", "page_index", F.col(f"{side}.c").alias(side)), ["book_id", "page_index"], "left")
-    return protocol.run_pages(r.select("book_id", "page_index", F.col("l.index").alias("asked"), F.col("l.q").alias("texts"), "before", "after"), stub_model)
+    return protocol.run_pages(r.select("book_id", "page_index", F.col("l.index").alias("asked"), F.col("l.q").alias("texts"), F.col("l.is_table").alias("tables"), "before", "after"), stub_model)
 
 
 def strikes_stream(spark: SparkSession, d: str) -> DataFrame:

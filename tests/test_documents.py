@@ -74,12 +74,46 @@ def test_replies(spark):
 def test_talk_with_a_model():
     answers = iter(["words", json.dumps({"need_context": "after"}), json.dumps({"result": [{"index": "0", "A": 1}]})])
     given = []
-    assert protocol.talk(["0"], ["t"], {"after": ["next"]}, lambda r, c, n: given.append(c) or next(answers)) == ("done", 3, {"0": "1"})
+    assert protocol.talk(["0"], ["t"], {"after": ["next"]}, lambda r, c, n: given.append(c) or next(answers)) == ("done", 3, {"0": "1"}, None)
     assert given == [None, None, ["next"]]
     assert protocol.talk(["0"], ["t"], {}, lambda r, c, n: "{}")[0] == "mismatch"
     assert protocol.talk(["0"], ["t"], {}, lambda r, c, n: '{"need_context": "before"}')[:2] == ("context again", 4)
 
 
+def test_a_reply_that_asks_is_a_request_and_tables_keep_their_shape():
+    both = json.dumps({"need_context": "before", "result": [{"index": 0, "A": "x"}]})
+    answers = iter([both, json.dumps({"result": [{"index": 0, "A": "y"}], "external_index": "1", "external": "z"})])
+    assert protocol.talk(["0"], ["t"], {"before": ["a", "b"]}, lambda r, c, n: next(answers)) == ("done", 2, {"0": "y"}, ("before", 1, "z"))
+    table = json.dumps({"table": [["a", "b"], ["c"]]})
+    reply = lambda rows: (lambda r, c, n: json.dumps({"result": [{"index": "0", "A": json.dumps(rows)}]}))
+    assert protocol.talk(["0"], [table], {}, reply([["A", 1], [None]]), [True])[2] == {"0": '[["A","1"],[null]]'}
+    assert protocol.talk(["0"], [table], {}, reply({"table": [["A", "B"], ["C"]]}), [True])[0] == "done"
+    for wrong in ([["A"], ["C"]], [["A", "B"]], [["A", ["B"]], ["C"]], "A"):
+        assert protocol.talk(["0"], [table], {}, reply(wrong), [True])[0] == "mismatch"
+    assert protocol.external({"external_index": 2, "external": "z"}, ["a", "b"]) is None
+
+
+def test_replies_apply_only_where_valid(spark):
+    b = spark.createDataFrame([("b", 1, 0, "text", "one", None), ("b", 1, 1, "text", "two", None), ("b", 2, 0, "text", "one", None), ("b", 3, 0, "table", "<fcel>a<fcel>b<nl>", None), ("b", 4, 0, "table", "<fcel>a<nl>", None)], "book_id string, page_index int, block_pos int, type string, content string, translation string")
+    p = spark.createDataFrame([("b", i, True, None) for i in (1, 2, 3, 4)], "book_id string, page_index int, finished boolean, translated boolean")
+    raw = {1: '{"result":[{"index":0,"A":"eins"}]}', 2: '{"result":[{"index":"0","content":"eins"}]}', 3: '{"result":[{"index":0,"A":[["x","y"]]}]}', 4: '{"result":[{"index":0,"A":"[[1,2]]"}]}'}
+    items = translation.parse_replies(spark.createDataFrame([("b", k, v) for k, v in raw.items()], "book_id string, page_index int, raw string"))
+    got = {(r["page_index"], r["block_pos"]): (r["translation"], r["grid"] is not None) for r in translation.apply_values(b, translation.requests(b, p), items).collect()}
+    assert got == {(1, 0): (None, False), (1, 1): (None, False), (2, 0): ("eins", False), (3, 0): ('[["x","y"]]', True), (4, 0): (None, False)}
+
+
+def test_spread_equals_brute_force():
+    rng = np.random.default_rng(1)
+    mask = rng.random((12, 40)) < 0.04
+    want = np.zeros_like(mask)
+    for y, x in zip(*np.nonzero(mask), strict=True):  # what is under the element when it is centred, the anchor at its half
+        want[max(0, y - 1) : y + 2, max(0, x - 8) : x + 10] = True
+    assert (native.spread(mask, 18, 3) == want).all()
+    with_gap = np.zeros((60, 80), bool)
+    with_gap[10:18, 10:60:2] = with_gap[19:27, 10:60:2] = True  # one line in two rows, a pixel apart
+    assert len(native.text_lines(with_gap)) == 1
+
+
 def test_strikes_and_ring(spark):
     df = spark.createDataFrame([(i, "b", "ocr", ok) for i, ok in enumerate([False, False, True, False, False, False])], "seq int, book_id string, kind string, ok boolean")
     assert [r["strikes"] for r in jobs.strikes(df).orderBy("seq").collect()] == [1, 2, 0, 1, 2, 3]
@@ -101,12 +135,12 @@ def test_library_rules(spark):
 def test_ink():
     ink = np.zeros((400, 600), bool)
     ink[100:120, 50:300] = True
-    assert native.trim_to_ink([20.0, 60.0, 500.0, 300.0], ink) == [44.0, 94.0, 306.0, 126.0]
+    assert native.trim_to_ink([[20.0, 60.0, 500.0, 300.0]], ink) == [[44.0, 94.0, 306.0, 126.0]]
     speck = np.zeros((400, 600), bool)
     speck[100, 100] = True
-    assert native.trim_to_ink([0.0, 0.0, 500.0, 300.0], speck) == [0.0, 0.0, 500.0, 300.0]
+    assert native.trim_to_ink([[0.0, 0.0, 500.0, 300.0], [3.0, 3.0, 4.0, 9.0]], speck) == [[0.0, 0.0, 500.0, 300.0], [3.0, 3.0, 4.0, 9.0]]
     hatched = native.draw((400, 600), [[50, 100, 300, 130], [50, 200, 55, 230]])
-    assert [b[1::2] for b in native.text_lines(hatched)] == [(100, 130)]
+    assert [b[1::2] for b in native.text_lines(hatched)] == [(99, 131)]  # spread by a pixel up and down
     gray = np.full((50, 50), 250, np.uint8)
     gray[10:20, 10:40] = 10
     assert native.ink_mask(gray).sum() == 300

@@ -30,7 +30,7 @@ def test_two_readings(spark, a, b, dual):
     df = spark.createDataFrame([(a, b)], "a string, b string")
     df = df.select(F.struct(*T.features(F.col("a"))).alias("a"), F.struct(*T.features(F.col("b"))).alias("b"))
     assert df.select(T.looks_dual(F.col("a"), F.col("b"))).first()[0] is dual
-    assert native.dual(a, b) is dual
+    assert native.dual(native.Reading(a), native.Reading(b)) is dual
 
 
 def test_dice_and_ratio(spark):
