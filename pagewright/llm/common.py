@@ -129,3 +129,21 @@ def prefilter(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     bitmap = ids.selectExpr(*(x.format(column) for x in parts)).groupBy("_word").agg(F.bit_or("_bit").alias("_mask"))
     there = df.selectExpr("*", *(x.format(column) for x in parts)).join(F.broadcast(bitmap), "_word")
     return there.filter(F.col("_mask").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_mask")
+
+
+def bitmap(ids: DataFrame, column: str):
+    """2**24 bits of the hashes `column`, as 2**18 words whatever their number: for `in_bitmap`."""
+    import numpy as np
+
+    parts = ids.selectExpr(f"shiftrightunsigned({column}, 46) as word", f"shiftleft(1L, cast({column} & 63 as int)) as bit")
+    rows = parts.groupBy("word").agg(F.bit_or("bit").alias("mask")).toArrow()
+    out = np.zeros(1 << 18, dtype=np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("mask").to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def in_bitmap(bits, keys):
+    """Which of the hashes may be among those of `bitmap`."""
+    import numpy as np
+
+    return (bits[(keys >> np.uint64(46)).astype(np.int64)] >> (keys & np.uint64(63))) & np.uint64(1) == 1

@@ -3,7 +3,8 @@
 Method: skip-gram vectors with negative sampling are learned for the corpus's frequent words from the counts of all word
 pairs within two words. A rare word is linked to the frequent word from which glyphs that scanners confuse differ (both have
 the same skeleton once such glyphs are merged, so the link is a look-up, not a comparison of words), and is corrected where
-its context fits that word, as the vectors tell, or a glyph in it can't be meant. Then running heads and page numbers go,
+its context fits that word, as the vectors tell, or a glyph in it can't be meant. A word with such a glyph may stand for any
+word seen SEVERAL times, frequent or not: those links are a join by skeleton over the counts of all words. Then running heads and page numbers go,
 words broken at line ends are joined, and lines are reflowed into paragraphs.
 
 A running head is a line with the letters of one of the book's header blocks; a page number is a line in the book's form of
@@ -20,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, frequent_words, is_body, letters, map_arrow, slices, strings, table
-from .vec import Words
+from .common import batch, bitmap, cut_lineage, frequent_words, in_bitmap, is_body, letters, map_arrow, slices, strings, table
+from .vec import Words, letter_table, signed
 
-#: A word is frequent from this share of all words on: at most 50,000 words in any corpus.
-FREQUENT_SHARE = 2e-5
+#: A word has a vector from this share of all words on: at most 200,000 words in any corpus.
+FREQUENT_SHARE = 5e-6
+#: A word without a vector is a misreading only where a glyph can't be meant, of a word that was seen so often, and so many
+#: times as often as itself.
+SEVERAL, OFTENER = 5, 3
 #: Pairs of frequent words from this share of all pairs on train the vectors: at most 500,000 pairs.
 PAIR_SHARE = 2e-6
 WINDOW = 2
@@ -202,7 +206,6 @@ class Reader:
         mate = self.lead[at] if len(at) else at
         own = np.arange(len(self.words))
         self.mate = np.where((mate != own) & (self.counts[mate] >= TIMES * self.counts), mate, -1) if len(own) else own
-        self.rare_limit = float(self.counts.min()) if len(self.counts) else 1.0
 
     def misread(self, texts: list[str | None]) -> tuple[Words, np.ndarray, np.ndarray]:
         """(words, index of each misread word, index of the frequent word it stands for)."""
@@ -220,7 +223,6 @@ class Reader:
         rare = np.flatnonzero(~known & (w.end - w.start >= 3))
         k = _place(self.skeleton, s.hash[rare])
         goal[rare] = np.where(k >= 0, self.lead[k] if len(self.lead) else -1, -1)
-        goal[rare[(k >= 0) & (self.counts[goal[rare]] < 3 * self.rare_limit)]] = -1
         goal[(w.end - w.start) < 3] = -1
         found = np.flatnonzero(goal >= 0)
         found = found[[not is_piece(w.flat, w.start[i], w.end[i]) for i in found.tolist()]] if len(found) else found
@@ -238,6 +240,16 @@ class Reader:
         keep = odd | (best >= self.fit)
         return w, found[keep], goal[found[keep]]
 
+    def unlinked(self, texts: list[str | None]) -> tuple[Words, np.ndarray, np.ndarray]:
+        """(words, index of each with a glyph that can't be meant, two letters and no frequent word to stand for, its skeleton)."""
+        w, s = Words(texts, also="@"), Words(texts, also="@", map_codes=skeletons)
+        odd, letters_ = np.isin(w.flat, np.array([ord(c) for c in IMPOSSIBLE], np.uint32)), letter_table()[w.flat]
+        count = lambda mask: (total := np.concatenate([[0], np.cumsum(mask)]))[w.end] - total[w.start]
+        at = np.flatnonzero((count(odd) > 0) & (count(letters_) >= 2) & (w.end - w.start >= 3) & (_place(self.words, w.hash) < 0))
+        at = at[_place(self.skeleton, s.hash[at]) < 0]
+        at = at[[not is_piece(w.flat, w.start[i], w.end[i]) for i in at.tolist()]] if len(at) else at
+        return w, at, s.hash[at]
+
     def broken(self, text: str) -> list[re.Match]:
         """The words broken at a line end by a mark that isn't theirs."""
         out = []
@@ -302,6 +314,53 @@ def _noise(reader_of):
     return run
 
 
+def _spelled(w: Words, i: int) -> str:
+    return w.flat[w.start[i] : w.end[i]].astype("<u4").tobytes().decode("utf-32-le", "replace")
+
+
+def odd_links(records: DataFrame, reader) -> DataFrame:
+    """(record_kind, record_id, word, stands_for) of the words with a glyph that can't be meant that no frequent word explains. The
+    words that they may stand for are counted over all texts; which are worth counting a bitmap of bounded size tells."""
+    schema = pa.schema([("skeleton", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
+
+    def odd(whole: pa.RecordBatch, out: pa.Schema) -> pa.RecordBatch | None:
+        rows, words, keys, done = [], [], [], 0
+        for b in slices(whole, "text"):
+            w, at, skeleton = reader().unlinked(strings(b.column("text")))
+            rows += (w.row[at] + done).tolist()
+            words += [_spelled(w, i) for i in at.tolist()]
+            keys.append(signed(skeleton))
+            done += b.num_rows
+        took = whole.take(pa.array(rows, pa.int64()))
+        return batch(out, took.column("record_kind"), took.column("record_id"), words, np.concatenate(keys))
+
+    found = cut_lineage(map_arrow(records.select("record_kind", "record_id", "text"), odd, "record_kind string, record_id bigint, word string, skeleton bigint").distinct())
+    bits = records.sparkSession.sparkContext.broadcast(bitmap(found, "skeleton"))
+
+    def meant(batches):
+        for whole in batches:
+            n: dict[tuple[int, str], int] = {}
+            for b in slices(whole, "text"):
+                texts = strings(b.column("text"))
+                s = Words(texts, also="@", map_codes=skeletons)
+                some = np.flatnonzero(in_bitmap(bits.value, s.hash))
+                if len(some):
+                    w = Words(texts, also="@")
+                    for i in some.tolist():
+                        word = _spelled(w, i)
+                        if not any(c in IMPOSSIBLE for c in word):
+                            k = int(s.hash[i].view(np.int64)), word
+                            n[k] = n.get(k, 0) + 1
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.int64()), pa.array([k[1] for k in n]), pa.array(list(n.values()), pa.int64())], schema=schema)
+
+    counts = records.select("text").mapInArrow(meant, "skeleton bigint, word string, n bigint").groupBy("skeleton", "word").agg(F.sum("n").alias("n"))
+    best = counts.groupBy("skeleton").agg(F.max(F.struct("n", "word")).alias("best")).filter(F.col("best.n") >= SEVERAL)
+    own = found.groupBy("skeleton", "word").agg(F.count("*").alias("times"))
+    fine = own.join(best, "skeleton").filter(F.col("best.n") >= OFTENER * F.col("times")).select("skeleton", "word", F.col("best.word").alias("stands_for"))
+    return found.join(fine, ["skeleton", "word"]).select("record_kind", "record_id", "word", "stands_for")
+
+
 def _shared(spark: SparkSession, reader: Reader):
     sent = spark.sparkContext.broadcast(reader)  # bounded: FREQUENT_SHARE and DIMENSIONS
     return lambda: sent.value
@@ -311,17 +370,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir)
     reader = _shared(spark, Reader(r))
     words = map_arrow(r.select("record_kind", "record_id", "text"), _noise(reader), "record_kind string, record_id bigint, noise string")
-    return words.unionByName(furniture(r, table(spark, sf_dir, "blocks")).select("record_kind", "record_id", "noise")).distinct()
+    odd = odd_links(r, reader).select("record_kind", "record_id", F.lit("misread").alias("noise"))
+    return words.unionByName(odd).unionByName(furniture(r, table(spark, sf_dir, "blocks")).select("record_kind", "record_id", "noise")).distinct()
+
 
+def _as_written(old: str, new: str) -> str:
+    return new.upper() if len(old) > 1 and old.isupper() else new.capitalize() if old[:1].isupper() else new
 
-def repair(text: str, gone: set[int], reader: Reader) -> str:
+
+def repair(text: str, gone: set[int], reader: Reader, links: dict[str, str] | None = None) -> str:
     """The text without the lines `gone`, with misread words corrected, broken words joined and lines reflowed: a line that
     ends without a stop runs on, unless the next line starts a list item, a heading or a table."""
     w, found, goal = reader.misread([text])
     if len(text.lower()) == len(text):
         for i, g in sorted(zip(found.tolist(), goal.tolist(), strict=True), reverse=True):
             old, new = text[w.start[i] : w.end[i]], reader.spelling[g]
-            text = text[: w.start[i]] + (new.upper() if len(old) > 1 and old.isupper() else new.capitalize() if old[:1].isupper() else new) + text[w.end[i] :]
+            text = text[: w.start[i]] + _as_written(old, new) + text[w.end[i] :]
+    if links:
+        text = re.sub(r"[\w@|$]+", lambda m: _as_written(m.group(), links[m.group().lower()]) if m.group().lower() in links else m.group(), text)
     lines = [x for n, x in enumerate(text.split("\n")) if n not in gone]
     text = "\n".join(lines)
     for m in reversed(reader.broken(text)):
@@ -346,15 +412,18 @@ def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     reader = _shared(spark, Reader(r))
     gone = furniture(r, table(spark, sf_dir, "blocks")).groupBy("record_kind", "record_id").agg(F.collect_set("line_no").alias("gone"))
 
+    links = odd_links(r, reader).groupBy("record_kind", "record_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "stands_for"))).alias("links"))
+
     def run(b: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
-        texts, gone = strings(b.column("text")), b.column("gone").to_pylist()
+        texts, gone, known = strings(b.column("text")), b.column("gone").to_pylist(), [dict(x or ()) for x in b.column("links").to_pylist()]
         w, found, _ = reader().misread(texts)
         hit = set(np.unique(w.row[found]).tolist())
-        rows = [i for i, t in enumerate(texts) if i in hit or gone[i] or ("\n" in t and reader().broken(t))]
+        rows = [i for i, t in enumerate(texts) if i in hit or gone[i] or known[i] or ("\n" in t and reader().broken(t))]
         took = b.take(pa.array(rows, pa.int64()))
-        return pa.RecordBatch.from_arrays([took.column("record_kind"), took.column("record_id"), pa.array([repair(texts[i], set(gone[i] or ()), reader()) for i in rows], pa.string())], schema=schema)
+        return pa.RecordBatch.from_arrays([took.column("record_kind"), took.column("record_id"), pa.array([repair(texts[i], set(gone[i] or ()), reader(), known[i]) for i in rows], pa.string())], schema=schema)
 
-    return map_arrow(r.join(gone, ["record_kind", "record_id"], "left").select("record_kind", "record_id", "text", "gone"), run, "record_kind string, record_id bigint, text string")
+    every = r.join(gone, ["record_kind", "record_id"], "left").join(links, ["record_kind", "record_id"], "left")
+    return map_arrow(every.select("record_kind", "record_id", "text", "gone", "links"), run, "record_kind string, record_id bigint, text string")
 
 
 QUERIES = {"p3_found": p3_found, "p3_repaired": p3_repaired}

@@ -76,6 +76,20 @@ def test_scan_noise_and_repair(spark, blocks_of, tables):
     assert text[5002] == "" and text[5003] == "The water sample near Kobela was compared with the paper feed for 8 days."
 
 
+def test_odd_glyphs_in_words_without_a_vector(spark):
+    rng = random.Random(11)
+    rows = [("block", i, f"{prose(rng, 2)} " + ("See the handbook here." if i % 60 == 0 else "")) for i in range(600)]
+    rows += [("block", 9000, "See the Handb0ok here."), ("block", 9001, "Part ab12cd of x9y."), ("block", 9002, None), ("block", 9003, "")]
+    r = spark.createDataFrame(rows, "record_kind string, record_id bigint, text string")
+    reader = S.Reader(r)
+    keep = reader.spelling.index("handbook") if "handbook" in reader.spelling else -1
+    if keep >= 0:  # as in a corpus where the word is too rare for a vector
+        reader.words, reader.skeleton, reader.lead = reader.words[:0], reader.skeleton[:0], reader.lead[:0]
+    got = [tuple(x) for x in S.odd_links(r, lambda: reader).collect()]
+    assert got == [("block", 9000, "handb0ok", "handbook")]
+    assert S.repair("See the Handb0ok here.", set(), reader, {"handb0ok": "handbook"}) == "See the Handbook here."
+
+
 def test_skip_gram_vectors_tell_contexts():
     import numpy as np
 
