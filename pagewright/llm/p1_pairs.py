@@ -3,7 +3,7 @@
 Method: a multi-label linear classifier (logistic, one label a defect) on hashed n-grams of the response (for wrong_language
 one label for each language asked for) and on pair features. It is trained on SAMPLE to twice as many pairs of the data, every
 n-th by hash, of which those that keep the content's names, length and sentences are taken as good, and on defective ones made
-from them: cut, copied, swapped for one in another language, refused. Pairs that the first fit holds for defective leave the
+from them (each language has its part of the sample, at least OF_LANGUAGE pairs where it has them): cut, copied, swapped for one in another language, refused. Pairs that the first fit holds for defective leave the
 good ones, and it is fitted again. Thresholds are calibrated on a part of the pairs that isn't trained on, for defects PRIOR as
 frequent as good pairs. An `empty` response has no letter or digit, or only a word for nothing; the model isn't asked. Of
 several defects the first of empty, copied, refusal, wrong_language, truncated is given.
@@ -30,7 +30,10 @@ BITS = 15
 PRIOR = 0.02
 SEED = 11
 DEFECTS = ["copied", "refusal", "truncated"]
-LEAST_OF_LANGUAGE = 12
+#: Fewer pairs than this can't be learned from: of such a table only `empty` ones come out.
+LEAST_PAIRS = 20
+#: Pairs of a language that are sampled even if it is rare; with fewer than LEAST_OF_LANGUAGE nothing can be learned of it.
+OF_LANGUAGE, LEAST_OF_LANGUAGE = 300, 12
 
 # Words for nothing, labels in front of an answer, marks of a cut, and what refusals are made of.
 NOTHING = re.compile(r"[\W_]*(?:null|none|nil|nan|n/?a|undefined|empty|no text|no content|无|空|нет|vacío|vide|leer)?[\W_]*", re.I)
@@ -223,13 +226,13 @@ def train(pairs: list[tuple[str, str, str]]) -> Model:
     for _, _, lang in pairs:
         count[lang] = count.get(lang, 0) + 1
     languages = sorted(k for k, n in count.items() if n >= LEAST_OF_LANGUAGE)
-    if len(pairs) < 20:
+    sound = [p for p in pairs if is_sound(features(p[0], p[1], common))]
+    pairs = sound if len(sound) >= LEAST_PAIRS else pairs
+    languages = [k for k in languages if any(p[2] == k for p in pairs)]
+    if len(pairs) < LEAST_PAIRS:
         model = Model(languages, common)
         model.limits[:] = np.inf
         return model
-    sound = [p for p in pairs if is_sound(features(p[0], p[1], common))]
-    pairs = sound if len(sound) >= 20 else pairs
-    languages = [k for k in languages if any(p[2] == k for p in pairs)]
     by_lang = {k: [p for p in pairs if p[2] == k] for k in languages}
     model = Model(languages, common)
     nd, k = len(DEFECTS), len(DEFECTS) + len(languages)
@@ -338,9 +341,15 @@ def defects(pairs: DataFrame, pages: DataFrame, sample: int = SAMPLE) -> DataFra
     """pairs(block_id, book_id, page_index, content, translation), pages(book_id, page_index, target_lang) -> (block_id, defect)."""
     pairs = pairs.filter("translation is not null and content is not null")
     asked = pages.select("book_id", "page_index", F.lower(F.trim("target_lang")).alias("lang")).dropDuplicates(["book_id", "page_index"])
-    every_nth = F.lit(max(1, pairs.count() // sample))  # so between one and two samples' rows come, however many pairs there are
-    some = pairs.select("block_id", "book_id", "page_index", "content", "translation").filter(F.pmod(F.xxhash64("block_id"), every_nth) == 0)
-    rows = cut_lineage(some).join(asked, ["book_id", "page_index"], "left").dropDuplicates(["block_id"]).collect()
+    some = pairs.select("block_id", "book_id", "page_index", "content", "translation")
+    placed = some.select("block_id", "book_id", "page_index").join(asked, ["book_id", "page_index"], "left").withColumn("lang", F.coalesce("lang", F.lit("und")))
+    sizes = {r["lang"]: r["count"] for r in placed.groupBy("lang").count().collect()}  # a row a language
+    # of each language every n-th pair by hash, its part of the sample but at least OF_LANGUAGE where it has them
+    total = sum(sizes.values())
+    nth = {lang: max(1, n // max(OF_LANGUAGE, sample * n // max(total, 1))) for lang, n in sizes.items()}
+    every = F.coalesce(F.create_map(*[F.lit(x) for pair in nth.items() for x in pair])[F.col("lang")], F.lit(1)) if nth else F.lit(1)
+    chosen = cut_lineage(placed.filter(F.pmod(F.xxhash64("block_id"), every) == 0).select("block_id", "lang").dropDuplicates(["block_id"]))
+    rows = some.join(F.broadcast(chosen), "block_id").dropDuplicates(["block_id"]).collect()
     rows.sort(key=lambda r: r["block_id"])
     model = train([(r["content"], r["translation"], r["lang"] or "und") for r in rows])
     sent = pairs.sparkSession.sparkContext.broadcast(model)

@@ -31,6 +31,9 @@ FREQUENT_SHARE = 5e-6
 SEVERAL, OFTENER = 5, 3
 #: Pairs of frequent words from this share of all pairs on train the vectors: at most 500,000 pairs.
 PAIR_SHARE = 2e-6
+#: Without such a glyph, context decides on a word too rare for a vector only where the word it may stand for is this many times
+#: as frequent as the rarest with one: in any language some rare word looks like another that isn't much less rare.
+CLEARLY = 12
 WINDOW = 2
 DIMENSIONS = 24
 #: A word is a misreading only of one that is this many times as frequent.
@@ -237,7 +240,8 @@ class Reader:
             j = np.clip(j, 0, len(w.hash) - 1)
             ok = inside & (w.row[j] == w.row[found]) & (at[j] >= 0)
             best[ok] = np.maximum(best[ok], np.einsum("ij,ij->i", self.u[goal[found[ok]]], self.v[at[j[ok]]]))
-        keep = odd | (best >= self.fit)
+        clear = known[found] | (self.counts[goal[found]] >= CLEARLY * self.counts.min())
+        keep = odd | (clear & (best >= self.fit))
         return w, found[keep], goal[found[keep]]
 
     def unlinked(self, texts: list[str | None]) -> tuple[Words, np.ndarray, np.ndarray]:

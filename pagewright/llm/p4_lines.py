@@ -5,6 +5,9 @@ of distinct pages. Level 1 counts single lines; each further level extends every
 that come after its first occurrence on a page (the projected database, held as one row per page and sequence, never
 gathered by book). Then all occurrences of lines of frequent sequences are taken out.
 
+Level by level goes on until no sequence is frequent. For each sequence a page holds one place, that of its first
+occurrence's end, and is extended by a line once: by the first place of it after that. Patterns are whole: none is left out.
+
 Lines without letters, null contents and the left-out types yield nothing; a redelivered block counts once, as pages and
 (block_id, line_no) are distinct. No book is gathered into one task: support is counted by (book, line, page) first.
 """
@@ -17,7 +20,6 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, letters, table
 
 MIN_PAGES = 5
-MAX_LENGTH = 3
 LEFT_OUT = ["table", "formula", "formula_number", "image", "chart", "algorithm"]
 
 
@@ -37,7 +39,7 @@ def _support(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, "page_index").distinct().groupBy(*keys).count().withColumnRenamed("count", "pages")
 
 
-def prefix_span(blocks: DataFrame, min_pages: int = MIN_PAGES, max_length: int = MAX_LENGTH) -> tuple[DataFrame, DataFrame]:
+def prefix_span(blocks: DataFrame, min_pages: int = MIN_PAGES, max_length: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(patterns(book, items, pages), occurrences(book, page_index, block_id, line_no, item, place) of frequent lines)."""
     all_lines = lines(blocks)
     singles = _support(all_lines, "book", "item").filter(F.col("pages") >= min_pages)
@@ -46,7 +48,9 @@ def prefix_span(blocks: DataFrame, min_pages: int = MIN_PAGES, max_length: int =
     first = occurs.groupBy("book", "page_index", "item").agg(F.min("place").alias("at"))
     steps = occurs.select("book", "page_index", F.col("item").alias("next"), "place").distinct()
     projected = first.select("book", "page_index", F.array("item").alias("items"), "at")
-    for _ in range(2, max_length + 1):
+    length = 1
+    while max_length is None or length < max_length:
+        length += 1
         longer = (
             projected.join(steps, ["book", "page_index"])
             .filter("place > at")
@@ -54,14 +58,17 @@ def prefix_span(blocks: DataFrame, min_pages: int = MIN_PAGES, max_length: int =
             .agg(F.min("place").alias("at"))
         )
         frequent = longer.groupBy("book", "items").count().withColumnRenamed("count", "pages").filter(F.col("pages") >= min_pages)
+        frequent = cut_lineage(frequent)
+        if frequent.isEmpty():
+            break
         patterns = patterns.unionByName(frequent.select("book", "items", "pages"))
-        projected = longer.join(frequent.select("book", "items"), ["book", "items"], "left_semi")
+        projected = cut_lineage(longer.join(frequent.select("book", "items"), ["book", "items"], "left_semi"))
     return patterns, occurs
 
 
-def repeated_lines(blocks: DataFrame, min_pages: int = MIN_PAGES, max_length: int = MAX_LENGTH) -> DataFrame:
+def repeated_lines(blocks: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """The occurrences to delete: lines of any frequent sequence, single lines included."""
-    patterns, occurs = prefix_span(blocks, min_pages, max_length)
+    patterns, occurs = prefix_span(blocks, min_pages)
     items = patterns.select("book", F.explode("items").alias("item")).distinct()
     return occurs.join(items, ["book", "item"], "left_semi").select("block_id", "line_no").distinct()
 

@@ -130,6 +130,13 @@ def test_prefix_span_equals_brute_force(spark, blocks_of):
     assert sorted((ids[r["book"]], len(r["items"]), r["pages"]) for r in patterns.collect()) == expected
 
 
+def test_sequences_of_any_length(spark, blocks_of):
+    lines = ["Alpha", "Beta", "Gamma", "Delta", "Epsilon"]
+    df = blocks_of([(10 * page + i, "a", page, i, "text", x) for page in range(6) for i, x in enumerate(lines)])
+    patterns, _ = L.prefix_span(df)
+    assert sorted(len(r["items"]) for r in patterns.collect()) == sorted(k for k in range(1, 6) for _ in itertools.combinations(lines, k))
+
+
 # -- 5 ------------------------------------------------------------------------------------------------------------------
 
 
