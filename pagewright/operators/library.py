@@ -1,4 +1,4 @@
-"""The library: books, folders, pages and their state. Mutations return the new relation; nothing is written here."""
+"""The library: books, folders, pages and their state. Mutations return the new relations; `sources.bound` writes them."""
 
 from __future__ import annotations
 
@@ -40,6 +40,37 @@ def patch_pages(pages: DataFrame, updates: DataFrame) -> DataFrame:
     return j.select("book_id", "page_index", (F.col("finished") | F.col("hit").isNotNull()).alias("finished"), F.when(F.col("hit").isNotNull(), False).otherwise(F.coalesce("translated", F.lit(False))).alias("translated"), F.col("hit").isNotNull().alias("touched"))
 
 
+def persist_batch(pages: DataFrame, blocks: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, blocks, touched pages) after a batch: updates(book_id, page_index, version, blocks: an array of structs with the
+    columns of a block beside its place). The blocks of a touched page are replaced as a whole; a refused page has no update and
+    stays as it was."""
+    place = ["book_id", "page_index"]
+    patched = patch_pages(pages, updates)
+    touched = patched.filter("touched").select(*place)
+    last = updates.groupBy(*place).agg(F.max_by("blocks", "version").alias("blocks")).join(touched, place, "left_semi")
+    new = last.select(*place, F.posexplode("blocks").alias("block_pos", "b")).select(*place, "block_pos", "b.*")
+    kept = blocks.join(touched, place, "left_anti")
+    return patched.drop("touched"), kept.select(*new.columns).unionByName(new), touched
+
+
+def prefill(books: DataFrame, pages: DataFrame, counts: DataFrame) -> DataFrame:
+    """pages with a skeleton for the books that have none: counts(id, pages) tells how long; books with pages stay."""
+    bare = counts.join(books, "id", "left_semi").join(pages.select(F.col("book_id").alias("id")).distinct(), "id", "left_anti")
+    return pages.unionByName(skeleton(bare).withColumnRenamed("id", "book_id").select(*pages.columns))
+
+
+def reset(pages: DataFrame, blocks: DataFrame, which: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, blocks, status) with the books of which(book_id, pages) as at their import: a skeleton of so many pages, or where
+    that is 0 of as many as they have, no blocks, Pending. A book of which neither is known is an error."""
+    had = pages.groupBy("book_id").agg(F.count("*").alias("had"))
+    n = which.join(had, "book_id", "left").select(F.col("book_id").alias("id"), F.when(F.col("pages") > 0, F.col("pages")).otherwise(F.coalesce("had", F.lit(0))).alias("pages"))
+    n = n.withColumn("pages", F.when(F.col("pages") == 0, F.raise_error(F.lit("page count unknown"))).otherwise(F.col("pages")))
+    fresh = skeleton(n).withColumnRenamed("id", "book_id")
+    only = which.select("book_id").distinct()
+    status = only.select("book_id", F.lit("Pending").alias("status"))
+    return pages.join(only, "book_id", "left_anti").unionByName(fresh.select(*pages.columns)), blocks.join(only, "book_id", "left_anti"), status
+
+
 def apply_external(blocks: DataFrame, results: DataFrame, external: DataFrame) -> DataFrame:
     """Two kinds of updates of translations: a page's own results, then its neighbour's for it; within a page the neighbour's
     word wins, the later page before the earlier. Both: (book_id, page_index, block_pos, text, by_page)."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import geom as G
 from pagewright.functions import text as T
 from pagewright.operators import folds, tables
+from pagewright.session import cut_lineage
 
 ASPECT_LIMIT, ASPECT_NOTICE, LEAST_POINTS = 0.02, 0.005, 0.5
 # The client's labels in a service's coarser types.
@@ -55,6 +56,7 @@ def place(pages: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def dedup(placed: DataFrame) -> DataFrame:
     """Placed blocks without readings that hold no words, near-duplicates folded into the fullest one, whose box grows."""
+    placed = cut_lineage(placed)  # used twice, and its expressions would be repeated in every feature: too much code for one method
     family = F.col("type").isin(T.TEXT_FAMILY)
     keys = ["service_page_id", "book_id", "page_index"]
     own = placed.filter(family & T.has_words(F.col("content")) & ~T.is_placeholder(F.col("content"))).select(*keys, "pos", "type", "content", "x1", "y1", "x2", "y2", *T.features(F.col("content")))

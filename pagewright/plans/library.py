@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators import catalog as C
 from pagewright.operators import jobs as J
 from pagewright.operators import library as L
-from pagewright.session import table
+from pagewright.session import shared_folder, table
+from pagewright.sources import bound as B
 from pagewright.sources.requests import batch_pages
 
 from .views import BLOCKS, blocks, books
@@ -179,10 +182,53 @@ def endpoint_urls(spark: SparkSession, d: str) -> DataFrame:
     return m.select("seq", C.endpoint(F.col("url"), F.col("api")).alias("endpoint"), C.models_endpoint(F.col("url"), F.col("api")).alias("models"))
 
 
+def bound_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The library written as bound documents and read again, by book: pages, finished ones, blocks, characters, grid rows."""
+    b = blocks(spark, d).select("book_id", "page_index", "block_pos", "type", "content", "loc", "translation", "grid")
+    path = f"{shared_folder(spark)}/bound-{uuid.uuid4().hex}"
+    B.write_pages(B.page_documents(_pages(spark, d).withColumn("status", F.lit("Processing")), b), path)
+    pages, again = B.read_pages(spark, path)
+    sums = again.groupBy("book_id").agg(F.count("*").alias("blocks"), F.sum(F.length("content")).alias("chars"), F.sum(F.length("translation")).alias("translated_chars"), F.sum(F.size("grid.rows")).alias("grid_rows"))
+    return pages.groupBy("book_id").agg(F.count("*").alias("pages"), F.count_if("finished").alias("finished"), F.count_if("translated").alias("translated")).join(sums, "book_id", "left")
+
+
+def _updates(spark: SparkSession, d: str) -> DataFrame:
+    """A batch: every third page is recognised again, with two blocks, some twice, the later with one; and a page that isn't there."""
+    block = lambda x: F.struct(F.lit(x).alias("content"))
+    p = _pages(spark, d).filter("page_index % 3 = 0").select("book_id", "page_index")
+    first = p.select("*", F.lit(1).alias("version"), F.array(block("a"), block("bb")).alias("blocks"))
+    return first.unionByName(p.filter("page_index % 2 = 0").select("*", F.lit(2).alias("version"), F.array(block("ccc")).alias("blocks"))).unionByName(first.withColumn("page_index", -F.col("page_index")))
+
+
+def batch_persist(spark: SparkSession, d: str) -> DataFrame:
+    """Pages after the batch, with their flags, blocks and characters."""
+    b = blocks(spark, d).select("book_id", "page_index", "block_pos", "content")
+    pages, after, touched = L.persist_batch(_pages(spark, d), b, _updates(spark, d))
+    sums = after.groupBy("book_id", "page_index").agg(F.count("*").alias("blocks"), F.sum(F.length("content")).alias("chars"))
+    out = pages.join(sums, ["book_id", "page_index"], "left").fillna(0, ["blocks", "chars"])
+    return out.join(touched.withColumn("t", F.lit(True)), ["book_id", "page_index"], "left").select("book_id", "page_index", "finished", "translated", F.coalesce("t", F.lit(False)).alias("touched"), "blocks", "chars")
+
+
+def book_prefill(spark: SparkSession, d: str) -> DataFrame:
+    """Pages by book once the books without any got three each."""
+    b = books(spark, d)
+    return L.prefill(b, _pages(spark, d), b.select("id", F.lit(3).alias("pages"))).groupBy("book_id").agg(F.count("*").alias("pages"), F.count_if("finished").alias("finished"))
+
+
+def book_reset(spark: SparkSession, d: str) -> DataFrame:
+    """By book, pages and blocks after the books whose id starts with a digit were reset, some to five pages."""
+    p, b = _pages(spark, d), blocks(spark, d).select("book_id", "page_index", "block_pos")
+    which = p.select("book_id").distinct().filter("book_id rlike '^[0-9]'").select("book_id", F.when(F.col("book_id").rlike("^[0-4]"), 5).otherwise(0).alias("pages"))
+    pages, left, status = L.reset(p, b, which)
+    n = left.groupBy("book_id").agg(F.count("*").alias("blocks"))
+    out = pages.groupBy("book_id").agg(F.count("*").alias("pages"), F.count_if("finished").alias("finished")).join(n, "book_id", "left").fillna(0, ["blocks"])
+    return out.join(status, "book_id", "left").select("book_id", "pages", "finished", "blocks", F.coalesce("status", F.lit("as it was")).alias("status"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        book_lookup, book_open, book_progress, book_status, book_skeleton, page_patch, apply_external, folder_groups, folder_names, folder_cascade, folder_move, import_dedup, path_checks, ring_pick, strikes_running,
+        bound_roundtrip, batch_persist, book_prefill, book_reset, book_lookup, book_open, book_progress, book_status, book_skeleton, page_patch, apply_external, folder_groups, folder_names, folder_cascade, folder_move, import_dedup, path_checks, ring_pick, strikes_running,
         work_pick, rate_limit_waits, log_ring, batch_clamp, translation_counts, catalog_stats, provider_detect, provider_order, model_ids, endpoint_urls,
     )
 }
@@ -192,6 +238,15 @@ _JOBS = "jb AS (SELECT event_id, ts, user_id AS book_id, CASE WHEN event_id % 2
 _MODELS = f"md AS (SELECT p_brand AS provider, p_partkey AS seq, p_name AS id, [{', '.join(repr(x) for x in C.PROTOCOLS)}, 'other'][CAST(p_size % 4 + 1 AS INTEGER)] AS api, 'https://api.' || lower(replace(p_brand, '#', '')) || '.example/v' || (p_size % 3) || '/' AS url FROM part)"
 _FIN = "count(*) FILTER (finished)"
 SQL = {
+    "bound_roundtrip": f"""WITH {BLOCKS}, s AS (SELECT book_id, count(*) AS blocks, sum(length(content)) AS chars, sum(length(translation)) AS translated_chars, sum(len(grid.rows)) AS grid_rows FROM bl GROUP BY 1)
+SELECT p.*, CAST(blocks AS BIGINT) AS blocks, CAST(chars AS BIGINT) AS chars, CAST(translated_chars AS BIGINT) AS translated_chars, CAST(grid_rows AS BIGINT) AS grid_rows FROM (SELECT book_id, count(*) AS pages, {_FIN} AS finished, count(*) FILTER (translated) AS translated FROM page_info GROUP BY 1) p LEFT JOIN s USING (book_id)""",
+    "batch_persist": f"""WITH {BLOCKS}, s AS (SELECT book_id, page_index, count(*) AS n, sum(length(content)) AS c FROM bl GROUP BY 1, 2)
+SELECT book_id, page_index, finished OR page_index % 3 = 0 AS finished, CASE WHEN page_index % 3 = 0 THEN false ELSE coalesce(translated, false) END AS translated, page_index % 3 = 0 AS touched,
+ CAST(CASE WHEN page_index % 6 = 0 THEN 1 WHEN page_index % 3 = 0 THEN 2 ELSE coalesce(n, 0) END AS BIGINT) AS blocks, CAST(CASE WHEN page_index % 3 = 0 THEN 3 ELSE coalesce(c, 0) END AS BIGINT) AS chars FROM page_info LEFT JOIN s USING (book_id, page_index)""",
+    "book_prefill": f"SELECT book_id, count(*) AS pages, {_FIN} AS finished FROM page_info GROUP BY 1 UNION ALL SELECT DISTINCT id, 3, 0 FROM books WHERE id NOT IN (SELECT book_id FROM page_info)",
+    "book_reset": f"""WITH {BLOCKS}, s AS (SELECT book_id, count(*) AS n FROM bl GROUP BY 1)
+SELECT book_id, CASE WHEN regexp_matches(book_id, '^[0-4]') THEN 5 ELSE count(*) END AS pages, CASE WHEN regexp_matches(book_id, '^[0-9]') THEN 0 ELSE {_FIN} END AS finished, CASE WHEN regexp_matches(book_id, '^[0-9]') THEN 0 ELSE coalesce(any_value(n), 0) END AS blocks,
+ CASE WHEN regexp_matches(book_id, '^[0-9]') THEN 'Pending' ELSE 'as it was' END AS status FROM page_info LEFT JOIN s USING (book_id) GROUP BY 1""",
     "book_lookup": f"WITH {_BK} SELECT id, name FROM bk WHERE id = '{FOCUS}'",
     "book_open": f"WITH {_BK}, s AS (SELECT book_id AS id, count(*) AS pages, {_FIN} AS finished FROM page_info GROUP BY 1) SELECT id, name, CASE WHEN bind IS NOT NULL THEN status ELSE 'Pending' END AS status, CASE WHEN bind IS NOT NULL THEN coalesce(pages, 0) ELSE 0 END AS pages, CASE WHEN bind IS NOT NULL THEN coalesce(finished, 0) ELSE 0 END AS finished FROM bk LEFT JOIN s USING (id)",
     "book_progress": f"SELECT book_id, {_FIN} AS finished, count(*) FILTER (translated) AS translated, count(*) AS pages FROM page_info GROUP BY 1",
