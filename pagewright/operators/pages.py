@@ -49,6 +49,7 @@ def place(pages: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     sides = {"x1": ("top_left_x", "w", "width_pt"), "y1": ("top_left_y", "h", "height_pt"), "x2": ("bottom_right_x", "w", "width_pt"), "y2": ("bottom_right_y", "h", "height_pt")}
     at = {k: G.round2(G.within(F.col(f"b.{c}").cast("double") * (F.col(page) / F.col(own)), F.lit(0.0), F.col(page))).alias(k) for k, (c, own, page) in sides.items()}
     b = b.select("service_page_id", "book_id", "page_index", "pos", kind.alias("type"), F.col("b.content").alias("raw"), *at.values())
+    b = cut_lineage(b)  # the filter below would repeat every expression: too much code for one method
     content = F.when(F.col("type") == "image", F.lit("")).otherwise(F.coalesce(T.clean_content(F.col("type"), F.col("raw")), F.lit("")))
     b = b.withColumn("content", content).drop("raw")
     return b.filter((F.col("x2") - F.col("x1") >= LEAST_POINTS) & (F.col("y2") - F.col("y1") >= LEAST_POINTS) & ((F.col("type") == "image") | (F.col("content") != ""))), refused
@@ -56,7 +57,7 @@ def place(pages: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def dedup(placed: DataFrame) -> DataFrame:
     """Placed blocks without readings that hold no words, near-duplicates folded into the fullest one, whose box grows."""
-    placed = cut_lineage(placed)  # used twice, and its expressions would be repeated in every feature: too much code for one method
+    placed = cut_lineage(placed)  # used twice
     family = F.col("type").isin(T.TEXT_FAMILY)
     keys = ["service_page_id", "book_id", "page_index"]
     own = placed.filter(family & T.has_words(F.col("content")) & ~T.is_placeholder(F.col("content"))).select(*keys, "pos", "type", "content", "x1", "y1", "x2", "y2", *T.features(F.col("content")))
