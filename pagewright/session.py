@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,10 +23,18 @@ def shared_folder(spark: SparkSession) -> str:
     if shared is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = os.path.join(tempfile.gettempdir(), f"pagewright-checkpoints-{os.getuid()}")
+        shared = _own_folder()
     return shared
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """A temporary folder of this process, gone with it."""
+    folder = tempfile.mkdtemp(prefix="pagewright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))

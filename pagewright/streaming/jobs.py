@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +17,17 @@ def strikes(jobs: DataFrame, limit: int = 3) -> DataFrame:
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(parts)).sort_values("seq")
-        for ok in rows["ok"]:
-            n = 0 if ok else n + 1
+        last, good, failed = None, None, np.zeros(0, dtype=np.int64)
+        for part in parts:  # in any order; of a part only the failures after the last success so far are held
+            seq, ok = part["seq"].to_numpy(dtype=np.int64), part["ok"].to_numpy(dtype=bool)
+            last = max([int(seq.max())] + [last] * (last is not None))
+            if ok.any():
+                good = max([int(seq[ok].max())] + [good] * (good is not None))
+            failed = np.concatenate([failed, seq[~ok]])
+            failed = failed if good is None else failed[failed > good]
+        n = len(failed) + (n if good is None else 0)
         state.update((n,))
-        yield pd.DataFrame({"book_id": [key[0]], "kind": [key[1]], "seq": [int(rows["seq"].iloc[-1])], "strikes": [n], "struck_out": [n >= limit]})
+        yield pd.DataFrame({"book_id": [key[0]], "kind": [key[1]], "seq": [last], "strikes": [n], "struck_out": [n >= limit]})
 
     out = "book_id string, kind string, seq bigint, strikes int, struck_out boolean"
     return jobs.groupBy("book_id", "kind").applyInPandasWithState(update, out, "strikes int", "update", GroupStateTimeout.NoTimeout)
