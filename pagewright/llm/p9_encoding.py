@@ -187,18 +187,21 @@ class Chains:
         self.roles = np.vstack([role, np.full((1, role.shape[1]), 5), np.zeros((1, role.shape[1]))]).astype(np.int8)
 
 
-    def read_as_unicode(self, code: np.ndarray, maps: np.ndarray) -> list[int]:
+    def read_as_unicode(self, code: np.ndarray, maps: np.ndarray, block: int = 20_000) -> list[int]:
         """Those of the maps under which at least half of the other than ASCII bytes are whole sequences of UTF-8."""
         place = np.append(np.where(code > 0x7F, self.place[code], len(self.alphabet) + 1), [len(self.alphabet) + 1] * 3)
-        r = self.roles[place[:, None], maps]
-        follows = r == 1
-        whole = np.zeros(len(maps))
-        for n in (1, 2, 3):
-            begins = r[: len(code)] == n + 1
-            for k in range(1, n + 1):
-                begins &= follows[k : len(code) + k]
-            whole += (n + 1) * begins.sum(axis=0)
-        return maps[whole * 2 >= np.maximum((r != 0).sum(axis=0), 1)].tolist()
+        whole, high = np.zeros(len(maps)), np.zeros(len(maps))
+        for at in range(0, len(code), block):  # a text of any length in blocks, each with the three bytes that may follow
+            size = min(block, len(code) - at)
+            r = self.roles[place[at : at + size + 3, None], maps]
+            follows = r == 1
+            high += (r[:size] != 0).sum(axis=0)
+            for n in (1, 2, 3):
+                begins = r[:size] == n + 1
+                for k in range(1, n + 1):
+                    begins &= follows[k : size + k]
+                whole += (n + 1) * begins.sum(axis=0)
+        return maps[whole * 2 >= np.maximum(high, 1)].tolist()
 
 
 @lru_cache(maxsize=1)

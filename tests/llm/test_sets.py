@@ -217,5 +217,14 @@ def test_chains_of_unlike_steps(judge, first, second):
     assert judge.restore([text], ["ru"])[0][0] == RUSSIAN
 
 
+def test_a_very_long_paragraph(judge):
+    text = " ".join([FRENCH] * 4000)
+    garbled = text.encode().decode("latin-1")
+    assert judge.restore([garbled, text], ["fr", "fr"]) == [(text, "utf-8 read as win"), (text, "")]
+    code = E.codes([garbled[:5000]])[0]
+    maps = E.np.arange(len(E.chains().unicode))
+    assert E.chains().read_as_unicode(code, maps) == E.chains().read_as_unicode(code, maps, 7)
+
+
 def test_lost_characters_stay_lost(judge):
     assert E.step("d\u00e9j\u00e0 \ufffd ici", "win", "cp850") == "d\u00daj\u00d3 \ufffd ici" and E.step("a \ufffd b", "gbk", "win") is None
