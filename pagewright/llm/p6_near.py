@@ -3,22 +3,24 @@
 Method: an inverted index over prefixes, which is exact. All shingles have one order, the rarer first; a block of n distinct
 shingles indexes its first n - ceil(LIKENESS * n) + 1. Two blocks alike to LIKENESS share at least that part of either, so the
 first shingle that they share in that order lies in both prefixes and they meet, whatever words an edit brings in. The order
-only decides how many strangers meet: by the shingle's own frequency in a sample of the blocks where it is frequent, then by
-the frequencies of its words over the whole corpus, then by hash. Of two blocks the smaller shares at least 2t/(1+t) of its
-shingles, so of its prefix n - ceil(2t/(1+t) n) + 1 will do. Matches are verified by the distance of fingerprints, first of 26
-min-hashes of two bits that the index holds (3.6 standard deviations allowed), then of 32 of four bits (3.3: a pair at exactly
-0.6 is lost with 7e-4 in all), then by the likeness of the whole shingle sets.
+only decides how many strangers meet: by the shingle's own frequency in a sample of the blocks where it is frequent, then by the frequencies of its words over the whole corpus, then by hash. Of two blocks the
+smaller shares at least 2t/(1+t) of its shingles, so of its prefix n - ceil(2t/(1+t) n) + 1 will do. A row of the index holds
+the block's complete fingerprint, 32 min-hashes of four bits, which also stands for the block: strangers end where they meet
+(3.3 standard deviations allowed: a pair at exactly 0.6 is lost with 5e-4), and only what is left is shuffled on and verified by
+the likeness of the whole shingle sets.
 
 Multi-index hashing of fingerprints of bits can't do it at this threshold: 64-bit simhashes of such pairs differ in about 15
 bits, for which a quarter of 16 bits needs balls of radius 3 (697 probes, each meeting rows/65536 strangers).
 
-Copies (equal word sequences) are one class with one fingerprint, so a class that holds a third of all rows is one row of the
-index; only the answer's pairs are expanded. Nulls, empty texts and texts under 30 words belong to no pair; a redelivered
-block counts once.
+Copies (equal word sequences) are one class with one fingerprint, so a class that holds a third of all rows has one row a batch
+in the index and meets others once; only the answer's pairs are expanded. Nulls, empty texts and texts under 30 words belong to
+no pair; a redelivered block counts once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -85,14 +87,17 @@ def _fingerprints(words: tuple, shingles: tuple, min_words: int, likeness: float
         rows = np.flatnonzero(n_words >= min_words)
         start = np.searchsorted(row, np.arange(b.num_rows))
         sketch = sketches(g, start[rows])
+        seq, _ = whole_hash(w, rows)
+        once = np.zeros(b.num_rows, dtype=bool)  # of copies the first is indexed
+        once[rows[np.unique(seq, return_index=True)[1]]] = True
         rank = np.arange(len(g)) - start[row]
-        used = rank < prefix_length(sizes, likeness)[row]
-        key_row, key = row[used], mix(g[used])
+        used = (rank < prefix_length(sizes, likeness)[row]) & once[row]
         short = np.minimum(prefix_length(sizes, 2 * likeness / (1 + likeness)), prefix_length(sizes, likeness))
+        key_row = row[used]
+        key = packed(mix(g[used]), sizes[key_row], rank[used] < short[key_row])
         first_key = np.searchsorted(key_row, np.append(rows, b.num_rows))
-        seq, at_seq = whole_hash(w, rows)
-        lists = pa.ListArray.from_arrays(pa.array(first_key.astype(np.int32)), pa.array(signed(key)))
-        return pa.RecordBatch.from_arrays([b.column("block_id").take(pa.array(rows)), pa.array(signed(seq)), pa.array(sizes[rows].astype(np.int32)), *map(pa.array, sketch), pa.array(short[rows].astype(np.int32)), lists.cast(schema.field(6).type)], schema=schema)
+        lists = pa.ListArray.from_arrays(pa.array(first_key.astype(np.int32)), pa.array(key))
+        return pa.RecordBatch.from_arrays([b.column("block_id").take(pa.array(rows)), pa.array(signed(seq)), pa.array(sizes[rows].astype(np.int32)), *map(pa.array, sketch), lists.cast(schema.field(5).type)], schema=schema)
 
     return run
 
@@ -139,34 +144,93 @@ def _agreements(a: str, b: str):
     return F.lit(16) - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
 
+def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same of arrays."""
+    x = (a ^ b).view(np.uint64)
+    x = x | (x >> np.uint64(1))
+    x = x | (x >> np.uint64(2))
+    return 16 - np.bitwise_count(x & np.uint64(0x1111111111111111)).astype(np.int64)
+
+
 def least_agreements(likeness: float, symbols: int = 32, bits: int = 4, deviations: float = 3.3) -> int:
     """Of so many symbols; so many standard deviations under what a pair of this likeness is expected to have."""
     p = likeness + (1 - likeness) / 2**bits
     return int(symbols * p - deviations * (symbols * p * (1 - p)) ** 0.5)
 
 
-#: What an index row says of its block, in one long: 26 two-bit min-hashes (of 32 four-bit ones every symbol's lower half),
-#: the size in steps of 1 %, and whether the shingle is in the shorter prefix that the smaller block of a pair needs.
-GIST, SIZE_STEP = 26, 1.01
+#: A row of the index is a long and the fingerprint. From its top the long has 52 bits of the shingle's hash, the block's size
+#: in steps of 1 %, and a 0 if the shingle is in the shorter prefix that the smaller block of a pair needs, so that in order
+#: the rows of a shingle follow each other by size.
+SIZE_BITS, SIZE_STEP = 11, 1.01
+LOW = np.int64((1 << SIZE_BITS + 1) - 1)
 
 
-def _gist(short):
-    half = F.lit(0x3333333333333333)
-    squeeze = lambda c: F.col(c).bitwiseAND(half)
-    both = squeeze("f").bitwiseOR(F.shiftleft(squeeze("g"), 2)).bitwiseAND(F.lit((1 << 2 * GIST) - 1))
-    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZE_STEP))).cast("bigint")
-    return both.bitwiseOR(F.shiftleft(size, 2 * GIST)).bitwiseOR(F.shiftleft(short.cast("bigint"), 63))
+def packed(key: np.ndarray, size: np.ndarray, short: np.ndarray) -> np.ndarray:
+    step = np.minimum(np.log(size) / np.log(SIZE_STEP), (1 << SIZE_BITS) - 1).astype(np.int64)
+    return (signed(key) & ~LOW) | (step << 1) | ~short
 
 
-def _gists_meet(a: str, b: str, likeness: float):
-    """May blocks with these gists be alike? Errs on the side of yes."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    x = x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555 & ((1 << 2 * GIST) - 1)))
-    size_a, size_b = (F.shiftrightunsigned(F.shiftleft(F.col(c), 1), 2 * GIST + 1) for c in (a, b))
+def _furthest(row: np.ndarray, likeness: float) -> np.ndarray:
+    """The last row of the same shingle whose block may be alike to this row's, by its size. Errs on the side of yes."""
     steps = int(np.ceil(np.log(1 / likeness) / np.log(SIZE_STEP))) + 1
-    near = F.abs(size_a - size_b) <= steps
-    shorter = ((size_a <= size_b) & (F.col(a) < 0)) | ((size_b <= size_a) & (F.col(b) < 0))
-    return shorter & near & (GIST - F.bit_count(x) >= least_agreements(likeness, GIST, 2, 3.6))
+    return (row & ~LOW) | np.minimum((row & LOW) + 2 * steps | 1, LOW)
+
+
+def _meetings(likeness: float, rows: int = 500_000, at_once: int = 1_000_000):
+    """(row, f, g) of the index in order -> (f_a, g_a, f_b, g_b) of blocks that share a shingle and may be alike. Only rows that
+    later ones may still meet are held: those of the last shingle, of a size not too far behind."""
+    least = least_agreements(likeness)
+
+    def met(held: np.ndarray, new: np.ndarray) -> Iterator[np.ndarray]:
+        every = np.concatenate([held, new], axis=1)
+        low = every[0]
+        # The smaller block comes first; of the same step of size those do whose shingle is in their shorter prefix.
+        a = np.flatnonzero(low & 1 == 0)
+        start = np.maximum(a + 1, held.shape[1])
+        count = np.searchsorted(low, _furthest(low[a], likeness), side="right") - start
+        a, start, count = (x[count > 0] for x in (a, start, count))
+        upto = np.cumsum(count)
+        for begin in range(0, int(upto[-1]) if len(upto) else 0, at_once):
+            pair = np.arange(begin, min(begin + at_once, int(upto[-1])))
+            of = np.searchsorted(upto, pair, side="right")
+            x, y = every[1:, a[of]], every[1:, start[of] + pair - (upto - count)[of]]
+            alike = sum(agreements(x[k], y[k]) for k in range(2)) >= least
+            x, y = x[:, alike], y[:, alike]
+            turned = (x[0] > y[0]) | ((x[0] == y[0]) & (x[1] > y[1]))
+            both = np.vstack([np.where(turned, y, x), np.where(turned, x, y)])
+            both = both[:, (both[:2] != both[2:]).any(axis=0)]
+            if both.shape[1]:
+                yield np.unique(both, axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, n = np.zeros((3, 0), dtype=np.int64), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, waiting, n
+            new = np.concatenate(waiting, axis=1)
+            waiting, n = [], 0
+            for both in met(held, new):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in both], names=["f_a", "g_a", "f_b", "g_b"])
+            every = np.concatenate([held, new], axis=1)
+            held = every[:, (every[0] & 1 == 0) & (_furthest(every[0], likeness) >= new[0, -1])]
+
+        last = None
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            r = np.stack([b.column(c).to_numpy() for c in ("row", "f", "g")])
+            before = np.concatenate([r[:, :1] if last is None else last, r[:, :-1]], axis=1)
+            fresh = (r != before).any(axis=0)  # copies that other batches indexed
+            fresh[0] |= last is None
+            last = r[:, -1:]
+            waiting.append(r[:, fresh])
+            n += int(fresh.sum())
+            if n >= rows:
+                yield from flush()
+        if n:
+            yield from flush()
+
+    return run
 
 
 def whole_hash(w: Words, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,17 +271,17 @@ def classes_and_links(blocks: DataFrame, likeness: float = LIKENESS, min_words:
     """blocks(block_id, content) -> (members(block_id, class), links(a, b, likeness) between different classes, a < b)."""
     texts = blocks.select("block_id", "content").filter("content is not null and block_id is not null")
     fingerprints = _fingerprints(frequent_words(texts, "content", FREQUENT_SHARE), frequent_shingles(texts), min_words, likeness)
-    prints = cut_lineage(map_arrow(texts, fingerprints, "block_id bigint, class bigint, n int, f bigint, g bigint, short int, keys array<bigint>"))
-    index = prints.select("class", "n", "f", "g", "short", F.posexplode("keys").alias("rank", "key"))
-    index = index.select("key", "class", _gist(F.col("rank") < F.col("short")).alias("gist"))
-    a, b = (index.select("key", F.col("class").alias(f"class_{side}"), F.col("gist").alias(f"gist_{side}")) for side in "ab")
-    met = a.join(b, "key").filter((F.col("class_a") < F.col("class_b")) & _gists_meet("gist_a", "gist_b", likeness))
-    met = met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
-    whole = prints.groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "f", "g")))
+    prints = cut_lineage(map_arrow(texts, fingerprints, "block_id bigint, class bigint, n int, f bigint, g bigint, rows array<bigint>"))
+    index = prints.select(F.explode("rows").alias("row"), "f", "g").repartition(F.shiftright("row", SIZE_BITS + 1)).sortWithinPartitions("row", "f", "g")
+    met = cut_lineage(index.mapInArrow(_meetings(likeness), "f_a bigint, g_a bigint, f_b bigint, g_b bigint").distinct())
+    whole = prints.select("class", "n", "f", "g").distinct()
+    same = whole.groupBy("f", "g").count().filter("count > 1").select(F.col("f").alias("f_a"), F.col("g").alias("g_a"), F.col("f").alias("f_b"), F.col("g").alias("g_b"))
+    found = met.unionAll(same)
     for side in "ab":
-        met = met.join(whole.withColumnsRenamed({"class": side, **{c: f"{c}_{side}" for c in ("n", "f", "g")}}), side)
-    met = met.filter(F.least("n_a", "n_b") >= likeness * F.greatest("n_a", "n_b")).filter(_agreements("f_a", "f_b") + _agreements("g_a", "g_b") >= least_agreements(likeness))
-    pairs = cut_lineage(met.select("a", "b"))
+        found = found.join(whole.withColumnsRenamed({"class": side, **{c: f"{c}_{side}" for c in ("n", "f", "g")}}), [f"f_{side}", f"g_{side}"])
+    found = found.filter((F.col("a") < F.col("b")) | (F.col("f_a") != F.col("f_b")) | (F.col("g_a") != F.col("g_b")))
+    found = found.filter(F.least("n_a", "n_b") >= likeness * F.greatest("n_a", "n_b") - 1e-9)
+    pairs = cut_lineage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     reps = cut_lineage(prints.select("block_id", "class").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("block_id").alias("block_id")))
     contents = cut_lineage(prefilter(texts, "block_id", reps).join(reps, "block_id").dropDuplicates(["class"]).select("class", "content"))
