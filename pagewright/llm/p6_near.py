@@ -3,7 +3,8 @@
 Method: an inverted index over prefixes, which is exact. All shingles have one order, the rarer first; a block of n distinct
 shingles indexes its first n - ceil(LIKENESS * n) + 1. Two blocks alike to LIKENESS share at least that part of either, so the
 first shingle that they share in that order lies in both prefixes and they meet, whatever words an edit brings in. The order
-only decides how many strangers meet: by the shingle's own frequency in a sample of the blocks where it is frequent, then by the frequencies of its words over the whole corpus, then by hash. Of two blocks the
+only decides how many strangers meet: by how often all blocks hold the shingle (counted in BUCKETS buckets of hashes, so that
+a count is at worst too high), then by the frequencies of its words over the whole corpus, then by hash. Of two blocks the
 smaller shares at least 2t/(1+t) of its shingles, so of its prefix n - ceil(2t/(1+t) n) + 1 will do. A row of the index holds
 the block's complete fingerprint, 32 min-hashes of four bits, which also stands for the block: strangers end where they meet
 (3.3 standard deviations allowed: a pair at exactly 0.6 is lost with 5e-4), and only what is left is shuffled on and verified by
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, count_by_partition, cut_lineage, frequent_words, map_arrow, prefilter, slices, strings, table
+from .common import batch, cut_lineage, frequent_words, map_arrow, prefilter, slices, strings, table
 from .vec import Words, mix, signed
 
 MIN_WORDS = 30
@@ -34,10 +35,8 @@ SHINGLE = 3
 LIKENESS = 0.6
 #: Words with at least this share of all words count as frequent: at most 50,000 words in any corpus.
 FREQUENT_SHARE = 2e-5
-#: Shingles with at least this share of the sample's are known as frequent: at most 200,000. Their order is fitted on every
-#: SAMPLE-th block by hash; it changes the cost only, never the result.
-FREQUENT_SHINGLES = 5e-6
-SAMPLE = 8
+#: Shingles are counted in so many buckets of hashes, which are summed in so many parts.
+BUCKETS, PARTS = 1 << 22, 64
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -60,8 +59,8 @@ def prefix_length(n: np.ndarray, likeness: float) -> np.ndarray:
     return n - np.ceil(likeness * n - 1e-9).astype(np.int64) + 1
 
 
-def _fingerprints(words: tuple, shingles: tuple, min_words: int, likeness: float):
-    word_level, shingle_level = _levels(words[1]), _levels(shingles[1])
+def _fingerprints(words: tuple, shingle_level: np.ndarray, min_words: int, likeness: float):
+    word_level = _levels(words[1])
 
     def run(whole: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
         parts = [one(b, schema) for b in slices(whole, "content")]
@@ -77,7 +76,7 @@ def _fingerprints(words: tuple, shingles: tuple, min_words: int, likeness: float
         rare = _looked_up(w.hash, words[0], word_level)
         three = [rare[first + j] for j in range(SHINGLE)]
         plain = np.minimum.reduce(three) > 0  # no rare word in it
-        least = (_looked_up(g, shingles[0], shingle_level) << np.uint64(9)) + sum(three) + np.where(plain, np.uint64(200), np.uint64(0))
+        least = (shingle_level[_bucket(g)].astype(np.uint64) << np.uint64(9)) + sum(three) + np.where(plain, np.uint64(200), np.uint64(0))
         order = np.lexsort((g, least, row))
         g, row = g[order], row[order]
         fresh = np.ones(len(g), dtype=bool)
@@ -102,19 +101,48 @@ def _fingerprints(words: tuple, shingles: tuple, min_words: int, likeness: float
     return run
 
 
-def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the shingles that are frequent in a sample of the blocks."""
+def _bucket(g: np.ndarray) -> np.ndarray:
+    return (mix(g) >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
 
-    def counts(batch_: list) -> tuple:
-        u, n = np.unique(Words(batch_).grams(SHINGLE)[0], return_counts=True)
-        return u, n.astype(np.int64)
 
-    sample = texts.filter(F.pmod(F.xxhash64("block_id"), F.lit(SAMPLE)) == 0)
-    every = count_by_partition(sample, "content", counts)
-    rows = every.filter((F.col("n") > 1) & (F.col("n") >= every.agg(F.sum("n") * FREQUENT_SHINGLES).scalar())).toArrow()
-    keys = rows.column("key").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], rows.column("n").to_numpy()[order].astype(np.int64)
+def _parts(counts: dict[int, np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+    return batch(schema, list(counts), [pa.compress(n.tobytes(), "zstd", asbytes=True) for n in counts.values()])
+
+
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How many shingles of all texts fall in each bucket, summed within each partition before the shuffle."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ddl = "part int, counts binary"
+    schema, each = to_arrow_schema(StructType.fromDDL(ddl)), BUCKETS // PARTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for whole in batches:
+            for b in slices(whole, "content"):
+                u, n = np.unique(_bucket(Words(strings(b.column("content"))).grams(SHINGLE)[0]), return_counts=True)
+                total[u] += n
+        yield _parts({k: part for k, part in enumerate(total.reshape(PARTS, each)) if part.any()}, schema)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, packed_counts in zip(b.column("part").to_pylist(), b.column("counts"), strict=True):
+                n = np.frombuffer(pa.decompress(packed_counts.as_buffer(), 8 * each, "zstd"), dtype=np.int64)
+                total[k] = total[k] + n if k in total else n
+        yield _parts(total, schema)
+
+    out = np.zeros((PARTS, each), dtype=np.int64)
+    for row in texts.select("content").mapInArrow(count, ddl).repartition("part").mapInArrow(add, ddl).collect():
+        out[row["part"]] = np.frombuffer(pa.decompress(row["counts"], 8 * each, "zstd"), dtype=np.int64)
+    return out.ravel()
+
+
+def shingle_levels(counts: np.ndarray) -> np.ndarray:
+    """The binary logarithm of each bucket's count, from 1; 0 for what chance may have brought together: half a mean bucket."""
+    least = max(1.0, counts.mean() / 2)
+    return np.where(counts >= least, np.floor(np.log2(np.maximum(counts / least, 1))) + 1, 0).astype(np.uint8)
 
 
 #: Odd factors that order the shingles in 32 unlike ways.
@@ -270,7 +298,7 @@ def _likeness(b: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
 def classes_and_links(blocks: DataFrame, likeness: float = LIKENESS, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """blocks(block_id, content) -> (members(block_id, class), links(a, b, likeness) between different classes, a < b)."""
     texts = blocks.select("block_id", "content").filter("content is not null and block_id is not null")
-    fingerprints = _fingerprints(frequent_words(texts, "content", FREQUENT_SHARE), frequent_shingles(texts), min_words, likeness)
+    fingerprints = _fingerprints(frequent_words(texts, "content", FREQUENT_SHARE), shingle_levels(shingle_counts(texts)), min_words, likeness)
     prints = cut_lineage(map_arrow(texts, fingerprints, "block_id bigint, class bigint, n int, f bigint, g bigint, rows array<bigint>"))
     index = prints.select(F.explode("rows").alias("row"), "f", "g").repartition(F.shiftright("row", SIZE_BITS + 1)).sortWithinPartitions("row", "f", "g")
     met = cut_lineage(index.mapInArrow(_meetings(likeness), "f_a bigint, g_a bigint, f_b bigint, g_b bigint").distinct())

@@ -9,6 +9,7 @@ from pagewright.llm import p6_near as N
 from pagewright.llm import p7_leaks as K
 from pagewright.llm import p8_mix as M
 from pagewright.llm import p9_encoding as E
+from pagewright.llm.vec import Words
 
 VOCABULARY = [f"w{i}" for i in range(400)]
 
@@ -252,3 +253,12 @@ def test_strangers_end_where_they_meet(spark):
         found = df.mapInArrow(N._meetings(0.6, held, 1000), "f_a bigint, g_a bigint, f_b bigint, g_b bigint").collect()
         pairs = {tuple(sorted((name[r[0], r[1]], name[r[2], r[3]]))) for r in found}
         assert pairs == expected and len(pairs) < 100  # of 4.5 million that meet
+
+
+def test_the_order_counts_all_blocks(spark, blocks_of):
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice(VOCABULARY) for _ in range(rng.randrange(50))) for _ in range(90)] + [None, ""]
+    df = blocks_of([(i, "b", i, 0, "text", t) for i, t in enumerate(texts)])
+    g = np.concatenate([Words([t]).grams(3)[0] for t in texts])
+    counts = N.shingle_counts(df.union(df).repartition(3))
+    assert (counts == 2 * np.bincount(N._bucket(g), minlength=N.BUCKETS)).all()
