@@ -31,7 +31,9 @@ def page_regions_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rasters(spark: SparkSession, d: str) -> DataFrame:
-    r = regions(spark, d)
+    """A page a row. Few bytes are much work here, so the pages are dealt out to a number of tasks that isn't lowered by size."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    r = regions(spark, d).repartition(tasks, "result_id")
     return r.groupBy("result_id", "width", "height").agg(F.array_sort(F.collect_list(F.struct("seq", F.array("x1", "y1", "x2", "y2").alias("box")))).alias("l")).select("result_id", "width", "height", F.col("l.box").alias("boxes"))
 
 
@@ -42,7 +44,7 @@ def ink_trim(spark: SparkSession, d: str) -> DataFrame:
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                ink = N.draw((r.height, r.width), [[x[0] + 9, x[1] + 9, x[2] - 9, x[3] - 9] for x in r.boxes])
+                ink = N.draw_bands((r.height, r.width), [[x[0] + 9, x[1] + 9, x[2] - 9, x[3] - 9] for x in r.boxes])
                 out += [(r.result_id, n, *x) for n, x in enumerate(N.trim_to_ink([list(map(float, x)) for x in r.boxes], ink))]
             yield pd.DataFrame(out, columns=["result_id", "seq", "x1", "y1", "x2", "y2"])
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import jobs, library, native, pages, protocol, tables, translation
+from pagewright.plans import native as plans_native
 
 
 def grid(spark, content, f=tables.parse_marks):
@@ -173,3 +174,27 @@ def test_regions_add_up():
     items = [(0, "text", 0.9, [0, 0, 10, 10], "Hello big world"), (1, "text", 0.8, [1, 1, 11, 11], "hello big world!"), (2, "text", 0.5, [50, 50, 60, 60], "..."), (3, "table", 0.5, [0, 0, 10, 10], "."), (4, "text", 0.5, [0, 0, 9, 9], "[N/A]")]
     out = {r[0]: r[1:3] for r in native.resolve_regions(items)}
     assert out == {0: ("kept", None), 1: ("merged", 0), 2: ("junk", None), 3: ("kept", None), 4: ("junk", None)}
+
+
+def random_masks(seed):
+    rng = np.random.default_rng(seed)
+    for k in range(120):
+        mask = rng.random(rng.integers(1, 60, 2)) < rng.choice([0, 0.03, 0.3, 0.8, 1])
+        yield rng, np.repeat(mask, 1 + k % 3, axis=0)
+
+
+def test_ink_of_bands_equals_brute_force():
+    for rng, mask in random_masks(2):
+        (h, w), page = mask.shape, native.Bands.of(mask)
+        assert (page.mask() == mask).all()
+        x, y = (np.sort(rng.integers(0, n + 1, (9, 2)), axis=1) for n in (w, h))
+        for x1, x2, y1, y2 in np.hstack([x, y]).tolist():
+            at = [(b, a) for a in range(y1, y2) for b in range(x1, x2) if mask[a, b]]
+            want = [min(a for a, _ in at), min(b for _, b in at), max(a for a, _ in at) + 1, max(b for _, b in at) + 1] if at else [x1, y1, x1, y1]
+            assert native.ink_bounds(page, np.array([[x1, y1, x2, y2]])).tolist() == [want]
+        boxes = (rng.random((5, 4)) * 90 - 20).tolist()
+        assert (native.draw_bands((h, w), boxes).mask() == native.draw((h, w), boxes)).all()
+
+
+def test_pages_are_dealt_out_to_tasks(spark):
+    assert plans_native._rasters(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 4
