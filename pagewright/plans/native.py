@@ -58,7 +58,7 @@ def text_lines_scan(spark: SparkSession, d: str) -> DataFrame:
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                ink = N.draw((r.height, r.width), [[x[0], x[1], x[2], min(x[3], x[1] + 30)] for x in r.boxes])
+                ink = N.draw_bands((r.height, r.width), [[x[0], x[1], x[2], min(x[3], x[1] + 30)] for x in r.boxes])
                 out += [(r.result_id, n, *x) for n, x in enumerate(N.text_lines(ink))]
             yield pd.DataFrame(out, columns=["result_id", "line", "x1", "y1", "x2", "y2"])
 

@@ -198,3 +198,16 @@ def test_ink_of_bands_equals_brute_force():
 
 def test_pages_are_dealt_out_to_tasks(spark):
     assert plans_native._rasters(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 4
+
+
+def test_lines_of_bands_equal_brute_force():
+    for rng, mask in random_masks(3):
+        (h, w), page = mask.shape, native.Bands.of(mask)
+        width, height = map(int, rng.integers(1, 9, 2))
+        want = np.zeros_like(mask)
+        for y, x in zip(*np.nonzero(mask), strict=True):
+            want[max(0, y - (height - 1 - height // 2)) : y + height // 2 + 1, max(0, x - (width - 1 - width // 2)) : x + width // 2 + 1] = True
+        assert (native.spread_bands(page, width, height).mask() == want).all()
+        assert native.components(page) == flood(mask)
+        lines = [b for b in flood(native.spread(mask, 3, 3)) if b[3] - b[1] >= 2 and b[2] - b[0] >= 4 and 0.1 <= mask[b[1] : b[3], b[0] : b[2]].mean() <= 0.6]
+        assert native.text_lines(page, 3, (2, 999), 4, (0.1, 0.6)) == lines
